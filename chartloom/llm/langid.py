@@ -28,8 +28,10 @@ class Settings:
     per_language: int = 500
     rows: int = 4000
     rounds: int = 8
-    #: A text is rejected below this share of its language's lowest thousandth of training cosines.
+    #: A text is rejected below this share of its language's lowest thousandth of training cosines; texts shorter than
+    #: full_bytes have sparse vectors, so the limit falls in proportion to their length.
     reject: float = 0.6
+    full_bytes: int = 500
 
 
 def has_letter(text: str) -> bool:
@@ -58,6 +60,7 @@ class Model:
     centroids: np.ndarray
     owner: np.ndarray
     limit: np.ndarray
+    full_bytes: int = 500
 
     def predict(self, all_texts: list[str]) -> tuple[list[str], np.ndarray, list[bool]]:
         """Language, cosine and whether the text is rejected. A text without a letter is und, 0 and rejected."""
@@ -69,7 +72,7 @@ class Model:
         best = cosine.argmax(1)
         for k, b, c in zip(lettered, best, cosine[np.arange(len(best)), best]):
             own = self.owner[b]
-            lang[k], score[k], out[k] = self.languages[own], min(1.0, max(0.0, float(c))), bool(c < self.limit[own])
+            lang[k], score[k], out[k] = self.languages[own], min(1.0, max(0.0, float(c))), bool(c < self.limit[own] * min(1.0, len(all_texts[k]) / self.full_bytes))
         return lang, score, out
 
 
@@ -130,7 +133,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), key: str = "doc_
         centroids.append(c)
         owner += [k] * len(c)
         limit.append(settings.reject * float(np.quantile((x @ c.T).max(1), 0.001)))
-    return Model(names, idf, np.concatenate(centroids), np.array(owner), np.array(limit))
+    return Model(names, idf, np.concatenate(centroids), np.array(owner), np.array(limit), settings.full_bytes)
 
 
 def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
