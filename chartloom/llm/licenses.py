@@ -49,13 +49,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def scored(passages: DataFrame, settings: Settings) -> DataFrame:
-    """(passage, licence, score) of distinct passages (passage, n), as a written table; the best template of each.
+    """(id, licence, score) of distinct passages (id, passage, n), as a written table; the best template of each.
 
     Document frequencies count every passage as often as it was found, and every template once.
     """
     spark = passages.sparkSession
     templates = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(settings.templates)], "template int, licence string, body string")
-    tf = passages.select("passage", "n", F.explode(terms(F.col("passage"))).alias("term")).groupBy("passage", "n", "term").agg(F.count("*").alias("tf"))
+    tf = passages.select("id", "n", F.explode(terms(F.col("passage"))).alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
     own = templates.select("template", "licence", F.explode(terms(F.col("body"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
     df = written(tf.select("term", "n").union(own.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df")), "terms")
     total = (passages.agg(F.sum("n")).first()[0] or 0) + len(settings.templates)
@@ -63,11 +63,11 @@ def scored(passages: DataFrame, settings: Settings) -> DataFrame:
     weight = (1 + F.log("tf")) * F.col("idf")
     own = own.join(idf, "term").withColumn("w", weight)
     own = F.broadcast(own.join(own.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "template").select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("t")))
-    mine = written(tf.join(idf, "term").select("passage", "term", weight.alias("w")), "weights")
-    norm = mine.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = mine.join(own, "term").groupBy("passage", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot")).join(norm, "passage")
-    best = dots.groupBy("passage").agg(F.max(F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("score"), "licence")).alias("b"))
-    return written(best.select("passage", "b.licence", "b.score"), "scored")
+    mine = written(tf.join(idf, "term").select("id", "term", weight.alias("w")), "weights")
+    norm = mine.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = mine.join(own, "term").groupBy("id", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot")).join(norm, "id")
+    best = dots.groupBy("id").agg(F.max(F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("score"), "licence")).alias("b"))
+    return written(best.select("id", "b.licence", "b.score"), "scored")
 
 
 def ancestors(folder: Column) -> Column:
@@ -92,12 +92,13 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text", key: str |
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(CUE))
     found = F.array_distinct(F.transform(F.concat(lines, F.when(is_file & (F.trim(body) != ""), F.array(body)).otherwise(F.array().cast("array<string>"))), lambda x: F.trim(x)))
     rows = written(files.select(*kept, F.col(f"`{path}`").alias("_path"), F.when(name.contains("/"), F.regexp_replace(name, "/[^/]*$", "")).otherwise("").alias("_folder"), is_file.alias("_is_file"), found.alias("_passages")), "passages")
-    passages = written(rows.select(F.explode("_passages").alias("passage")).groupBy("passage").agg(F.count("*").alias("n")), "distinct")
+    each = rows.select(F.explode("_passages").alias("passage")).select(F.md5("passage").alias("id"), "passage")
+    passages = written(each.groupBy("id").agg(F.first("passage").alias("passage"), F.count("*").alias("n")), "distinct")
     best = scored(passages, settings).where(F.col("score") >= settings.threshold)
     best = written(best, "licensed")
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
     rows = written(rows, "rows")
-    hits = rows.where(F.size("_passages") > 0).select("_id", F.explode("_passages").alias("passage")).join(_small(best, settings.broadcast_rows), "passage")
+    hits = rows.where(F.size("_passages") > 0).select("_id", F.explode(F.transform("_passages", lambda x: F.md5(x))).alias("id")).join(_small(best, settings.broadcast_rows), "id")
     own = written(hits.groupBy("_id").agg(F.max(F.struct("score", "licence")).alias("o")).select("_id", "o.licence", "o.score"), "own")
     rows = rows.drop("_passages").join(own.withColumnsRenamed({"licence": "own_licence"}), "_id", "left")
     folders = rows.where("_is_file and own_licence is not null").groupBy("_folder").agg(F.max_by("own_licence", F.struct("score")).alias("_l"), F.max("score").alias("_s"))
