@@ -64,7 +64,7 @@ def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", size: in
     The table decides which tier answers, never the answer, so a bounded sample serves and the corpus is read once.
     """
     seen: Counter[str] = Counter()
-    for row in docs.select(F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull()).limit(sample).toLocalIterator():
+    for row in docs.select(F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull()).take(sample):
         seen.update(p for p in pretokens(row[0]) if len(p) <= 64)
     lengths = Lengths(model, {})
     return {p: lengths.encode(p) for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]}
