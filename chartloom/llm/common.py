@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch. Long documents are about 100 kB, so a batch stays at a few MB.
-TEXT_ROWS = 512
+TEXT_ROWS = 256
 
 
 def text_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
