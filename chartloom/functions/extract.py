@@ -110,7 +110,7 @@ def instructions(text: Column) -> Column:
 
 def near_mention(text: Column, term: Column) -> Column:
     """dosage and frequency in the thirty characters after the first whole-word mention of a term."""
-    window = F.regexp_extract(text, F.concat(F.lit(r"(?iUd)\b\Q"), term, F.lit(r"\E\b(.{0,30})")), 1)
+    window = F.coalesce(F.get(F.regexp_extract_all(text, F.concat(F.lit(r"(?iUd)\b\Q"), term, F.lit(r"\E\b(.{0,30})")), F.lit(1)), F.lit(0)), F.lit(""))
     return F.struct(first(window, DOSAGE).alias("dosage"), first(window, NEAR_FREQUENCY).alias("frequency"))
 
 

@@ -58,8 +58,12 @@ def windows(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", t
     sizes = [r.n for r in terms.select("n").distinct().collect()]
     if not sizes:
         return docs.select(key, F.lit("").alias("term")).limit(0)
+
+    def of_size(n: int) -> Column:
+        return F.transform(T.ngrams(F.col("w"), F.lit(n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
     split = docs.select(key, T.tokens(F.lower(text)).alias("w"))
-    grams = split.select(key, F.explode(F.concat(*[F.transform(T.ngrams(F.col("w"), F.lit(n)), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in sorted(sizes)])).alias("x")).select(key, "x.*").distinct()
+    grams = split.select(key, F.explode(F.concat(*map(of_size, sorted(sizes)))).alias("x")).select(key, "x.*").distinct()
     seen = grams.select("n", "g").distinct().join(terms, "n").where(F.expr(may_reach("g", "term", threshold))).where(reaches(F.col("g"), F.col("term"), threshold))
     return grams.join(seen.select("n", "g", "term"), ["n", "g"]).select(key, "term").distinct()
 
@@ -71,24 +75,24 @@ def corrected(docs: DataFrame, lexicon: DataFrame, key: str, kind: str, text: st
     they are, and in others replaces words in place.
     """
     changed = corrections(docs, lexicon, key, text, threshold)
-    one = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "word", "corrected", "score", "term"))).alias("_c"))
+    one = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "word", "corrected", "score", "term"))).alias("_changes"))
     matched = exact(docs, lexicon, key, text).union(changed.select(key, "term")).union(windows(docs, lexicon, key, text, threshold))
-    matched = matched.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("_m"))
+    matched = matched.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("_matched"))
     out = docs.join(one, key, "left").join(matched, key, "left")
     given = T.tokens(F.col(text))
-    new = F.map_from_entries(F.transform(F.coalesce("_c", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), lambda x: F.struct(x["pos"], x["corrected"])))
+    new = F.map_from_entries(F.transform(F.coalesce("_changes", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), lambda x: F.struct(x["pos"], x["corrected"])))
     rebuilt = F.array_join(F.transform(given, lambda w, i: F.coalesce(F.try_element_at(new, i), w)), " ")
     if keep_lines:
-        rebuilt = F.aggregate(F.coalesce("_c", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), F.col(text), lambda a, x: F.replace(a, x["word"], x["corrected"]))
-    listed = F.transform(F.coalesce("_c", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), lambda x: F.struct(x["word"].alias("from"), x["corrected"].alias("to"), F.lit(kind).alias("type"), x["score"].alias("score")))
-    return out.select(*docs.columns, rebuilt.alias("corrected_text"), listed.alias("corrections"), F.coalesce("_m", F.array().cast("array<string>")).alias("matched"))
+        rebuilt = F.aggregate(F.coalesce("_changes", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), F.col(text), lambda a, x: F.replace(a, x["word"], x["corrected"]))
+    listed = F.transform(F.coalesce("_changes", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), lambda x: F.struct(x["word"].alias("from"), x["corrected"].alias("to"), F.lit(kind).alias("type"), x["score"].alias("score")))
+    return out.select(*docs.columns, rebuilt.alias("corrected_text"), listed.alias("corrections"), F.coalesce("_matched", F.array().cast("array<string>")).alias("matched"))
 
 
 def cascade(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(key, corrected_text, corrections, matched_drugs, matched_diseases): drugs first, then diseases on what came out."""
-    one = corrected(docs.select(key, text), drugs, key, "drug", text, threshold).select(key, F.col("corrected_text").alias("_t"), F.col("corrections").alias("_c"), F.col("matched").alias("matched_drugs"))
+    one = corrected(docs.select(key, text), drugs, key, "drug", text, threshold).select(key, F.col("corrected_text").alias("_t"), F.col("corrections").alias("_first"), F.col("matched").alias("matched_drugs"))
     two = corrected(one, diseases, key, "disease", "_t", threshold)
-    return two.select(key, "corrected_text", F.concat("_c", "corrections").alias("corrections"), "matched_drugs", F.col("matched").alias("matched_diseases"))
+    return two.select(key, "corrected_text", F.concat("_first", "corrections").alias("corrections"), "matched_drugs", F.col("matched").alias("matched_diseases"))
 
 
 def whole_word(text: Column, term: str) -> Column:
@@ -145,11 +149,11 @@ def parsed(docs: DataFrame, medical: list[str], english: list[str], key: str, te
     split = docs.select(key, F.posexplode(T.pieces(F.col(text))).alias("pos", "token"))
     known = token_corrections(split, medical, english, **cutoffs)
     changed = split.join(known, "token").where("corrected <> token")
-    one = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("token").alias("from"), F.col("corrected").alias("to"), "source"))).alias("_c"))
-    out = docs.join(one, key, "left").withColumn("_c", F.coalesce("_c", F.array().cast("array<struct<pos:int,from:string,to:string,source:string>>")))
-    new = F.map_from_entries(F.transform("_c", lambda x: F.struct(x["pos"], x["to"])))
+    one = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("token").alias("from"), F.col("corrected").alias("to"), "source"))).alias("_changes"))
+    out = docs.join(one, key, "left").withColumn("_changes", F.coalesce("_changes", F.array().cast("array<struct<pos:int,from:string,to:string,source:string>>")))
+    new = F.map_from_entries(F.transform("_changes", lambda x: F.struct(x["pos"], x["to"])))
     final = F.array_join(F.transform(T.pieces(F.col(text)), lambda w, i: F.coalesce(F.try_element_at(new, i), w)), "")
     out = out.withColumn("corrected_text", F.trim(final))
-    listed = F.transform("_c", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["source"].alias("source")))
+    listed = F.transform("_changes", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["source"].alias("source")))
     final = F.col("corrected_text")
     return out.select(*docs.columns, "corrected_text", listed.alias("corrections"), substring_matches(final, medical + english).alias("dictionary_matches"), layer_matches(final, medical).alias("medical_matches"), layer_matches(final, english).alias("english_matches"))

@@ -20,8 +20,13 @@ def flattened(record: Column) -> Column:
     one = lambda name, c: F.array(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name + ":"), c)))
     scalars = [one(k, record[k]) for k in ("patient_name", "age", "gender", "date", "doctor_name", "hospital")]
     vitals = [one(f"vitals.{k}", record["vitals"][k]) for k in ("bp", "temp", "pulse")]
-    lists = [F.transform(record[k], lambda x, k=k: F.when(x != "", F.concat(F.lit(k + ":"), x))) for k in ("diagnosis", "instructions")]
-    meds = [F.transform(record["medicines"], lambda m, k=k: F.when(F.coalesce(m[k], F.lit("")) != "", F.concat(F.lit(f"medicines.{k}:"), m[k]))) for k in ("name", "dosage", "frequency")]
+
+
+    def named(values: Column, name: str) -> Column:
+        return F.transform(values, lambda x: F.when(x != "", F.concat(F.lit(name + ":"), x)))
+
+    lists = [named(record[k], k) for k in ("diagnosis", "instructions")]
+    meds = [named(record["medicines"][k], f"medicines.{k}") for k in ("name", "dosage", "frequency")]
     return F.array_distinct(F.array_compact(F.concat(*scalars, *vitals, *[F.coalesce(x, F.array().cast("array<string>")) for x in lists + meds])))
 
 

@@ -35,7 +35,7 @@ def segmented(df: DataFrame, text: str = "text") -> DataFrame:
 
 def gaps(boxes: DataFrame, line: str, x: str, w: str, factor: float = 1.0) -> DataFrame:
     """boxes with space_after: the next box of the line begins more than factor mean widths beyond this one's end."""
-    order = W.partitionBy(line).orderBy(x)
+    order = W.partitionBy(line).orderBy(x, w)
     mean = F.avg(w).over(W.partitionBy(line))
     return boxes.withColumn("space_after", F.coalesce(F.lead(x).over(order) - (F.col(x) + F.col(w)) > factor * mean, F.lit(False)))
 
