@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it and wherever the optimiser copies the expression to."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 #: White space as Python's str.split() sees it.
 SPACE = r"(?U)\s+"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: For each type, in the order that settles ties, its keywords (one point) and patterns (two points a match).
 TYPES: dict[str, tuple[list[str], list[str]]] = {
     "discharge_summary": (
@@ -61,30 +63,37 @@ def _blank(text: Column) -> Column:
 
 def ranked(text: Column) -> Column:
     """Types by falling score; equal ones in the table's order. Scores of a type are computed once."""
-    return F.reverse(F.array_sort(scores(F.coalesce(text, F.lit("")), F.lower(F.coalesce(text, F.lit(""))))))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.lower(t), lambda low: F.reverse(F.array_sort(scores(t, low)))))
 
 
 def classification(ranking: Column, text: Column) -> Column:
     """Struct of document_type, confidence and secondary_types from ranked(text)."""
-    total = F.aggregate(ranking, F.lit(0), lambda a, x: a + x["score"])
+    return let(F.struct(ranking.alias("r"), F.aggregate(ranking, F.lit(0), lambda a, x: a + x["score"]).alias("total"), _blank(text).alias("blank")), _classification)
+
+
+def _classification(x: Column) -> Column:
+    ranking, total, blank = x["r"], x["total"], x["blank"]
     best = F.get(ranking, F.lit(0))
     secondary = F.transform(F.filter(F.slice(ranking, 2, 2), lambda x: x["score"] > 0), lambda x: F.struct(x["type"].alias("type"), (x["score"] / total).alias("score")))
     none = F.array().cast("array<struct<type:string,score:double>>")
-    kind = F.when(_blank(text), "unknown").when(total == 0, "general_medical").otherwise(best["type"])
-    confidence = F.when(_blank(text), 0.0).when(total == 0, 0.3).otherwise(F.least(best["score"] / total, F.lit(CAP)))
-    return F.struct(kind.alias("document_type"), confidence.alias("confidence"), F.when(_blank(text) | (total == 0), none).otherwise(secondary).alias("secondary_types"))
+    kind = F.when(blank, "unknown").when(total == 0, "general_medical").otherwise(best["type"])
+    confidence = F.when(blank, 0.0).when(total == 0, 0.3).otherwise(F.least(best["score"] / total, F.lit(CAP)))
+    return F.struct(kind.alias("document_type"), confidence.alias("confidence"), F.when(blank | (total == 0), none).otherwise(secondary).alias("secondary_types"))
 
 
 def classified(df, text: str = "text"):
     """df with document_type, confidence and secondary_types. One pass, no shuffle; a blank text is unknown with 0."""
-    out = df.withColumn("_r", ranked(F.col(text)))
-    return out.withColumn("_c", classification(F.col("_r"), F.col(text))).select("*", "_c.*").drop("_r", "_c")
+    found = let(ranked(F.col(text)), lambda r: classification(r, F.col(text)))
+    return df.withColumn("_c", found).select("*", "_c.*").drop("_c")
 
 
 def urgency(text: Column) -> Column:
     """Struct of urgency and urgency_confidence; null counts as empty, which is routine."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    urgent, high = hits(low, URGENT), hits(low, HIGH)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: let(F.struct(hits(low, URGENT).alias("u"), hits(low, HIGH).alias("h")), _urgency))
+
+
+def _urgency(x: Column) -> Column:
+    urgent, high = x["u"], x["h"]
     level = F.when(urgent >= 1, "urgent").when(high >= 1, "high").otherwise("routine")
     sure = F.when(urgent >= 2, 0.9).when(urgent >= 1, 0.7).when(high >= 2, 0.8).when(high >= 1, 0.6).otherwise(0.5)
     return F.struct(level.alias("urgency"), sure.alias("urgency_confidence"))
@@ -93,8 +102,7 @@ def urgency(text: Column) -> Column:
 def keywords_found(text: Column) -> Column:
     """Keywords that occur and texts that patterns match, distinct and sorted; empty for a blank text."""
     source = F.coalesce(text, F.lit(""))
-    low = F.lower(source)
     words = sorted({w for ws, _ in TYPES.values() for w in ws})
-    found = [F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))]
+    found = [let(F.lower(source), lambda low: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))]
     found += [F.regexp_extract_all(source, F.lit("(?iU)" + p), F.lit(0)) for _, ps in TYPES.values() for p in ps]
     return F.array_sort(F.array_distinct(F.concat(*found)))

@@ -102,15 +102,14 @@ def whole_word(text: Column, term: str) -> Column:
 
 def found_terms(text: Column, terms: list[str]) -> Column:
     """Terms in a text, longest first, then by name. One contains for each term before its regular expression."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.array_compact(F.array(*[F.when(low.contains(t) & whole_word(low, t), F.struct(F.lit(-len(t)).alias("n"), F.lit(t).alias("t"))) for t in terms]))
-    return F.transform(F.array_sort(hits), lambda x: x["t"])
+    order = sorted(set(terms), key=lambda t: (-len(t), t))
+    hits = lambda low: F.array_compact(F.array(*[F.when(low.contains(t) & whole_word(low, t), F.lit(t)) for t in order]))
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), hits)
 
 
 def substring_matches(text: Column, terms: list[str]) -> Column:
     """Terms that occur anywhere in the lower-cased text, sorted."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*map(F.lit, sorted(set(terms)))), lambda t: F.contains(low, t))
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(F.array(*map(F.lit, sorted(set(terms)))), lambda t: F.contains(low, t)))
 
 
 def layer_matches(text: Column, terms: list[str]) -> Column:

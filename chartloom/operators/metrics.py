@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def character_error_rate(truth: Column, prediction: Column) -> Column:
     return F.levenshtein(F.trim(truth), F.trim(prediction)) / F.greatest(F.length(F.trim(truth)), F.lit(1))
@@ -17,6 +19,10 @@ def cer_by_type(df: DataFrame, kind: str, truth: str, prediction: str) -> DataFr
 
 def flattened(record: Column) -> Column:
     """Set of key:value and key.sub:value for all values of an extraction record that are neither null nor empty."""
+    return let(record, _flattened)
+
+
+def _flattened(record: Column) -> Column:
     one = lambda name, c: F.array(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name + ":"), c)))
     scalars = [one(k, record[k]) for k in ("patient_name", "age", "gender", "date", "doctor_name", "hospital")]
     vitals = [one(f"vitals.{k}", record["vitals"][k]) for k in ("bp", "temp", "pulse")]

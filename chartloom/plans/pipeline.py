@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract
+from ..functions.text import let
 from ..operators import classify, lexicon
 
 
 def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str = "text", strict: bool = False) -> DataFrame:
     """docs with extracted_data: the regex record, completed by dictionary diseases and drugs. Blank texts have a null one."""
     t = F.col(text)
-    out = docs.withColumn("_r", extract.record(t, strict)).withColumn("_drugs", lexicon.found_terms(t, drugs)).withColumn("_diseases", lexicon.found_terms(t, diseases))
-    names = F.transform("_r.medicines", lambda m: m["name"])
-    added = F.transform(lexicon.new_medicines(names, F.col("_drugs")), lambda d: F.struct(F.initcap(d).alias("name"), extract.near_mention(t, d).alias("n")))
-    added = F.transform(added, lambda x: F.struct(x["name"].alias("name"), x["n"]["dosage"].alias("dosage"), x["n"]["frequency"].alias("frequency")))
-    whole = F.col("_r").withField("diagnosis", lexicon.merged_diagnoses(F.col("_r.diagnosis"), F.col("_diseases"))).withField("medicines", F.concat("_r.medicines", added))
-    return out.withColumn("extracted_data", F.when(F.col("_r").isNotNull(), whole)).drop("_r", "_drugs", "_diseases")
+
+    def completed(x: Column) -> Column:
+        names = F.transform(x["r"]["medicines"], lambda m: m["name"])
+        added = F.transform(lexicon.new_medicines(names, x["drugs"]), lambda d: F.struct(F.initcap(d).alias("name"), extract.near_mention(t, d).alias("n")))
+        added = F.transform(added, lambda m: F.struct(m["name"].alias("name"), m["n"]["dosage"].alias("dosage"), m["n"]["frequency"].alias("frequency")))
+        whole = x["r"].withField("diagnosis", lexicon.merged_diagnoses(x["r"]["diagnosis"], x["diseases"])).withField("medicines", F.concat(x["r"]["medicines"], added))
+        return F.when(x["r"].isNotNull(), whole)
+
+    parts = F.struct(extract.record(t, strict).alias("r"), lexicon.found_terms(t, drugs).alias("drugs"), lexicon.found_terms(t, diseases).alias("diseases"))
+    return docs.withColumn("extracted_data", let(parts, completed))
 
 
 def responses(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str, text: str = "text", preserve_newlines: bool = True) -> DataFrame:
