@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import text_batches, texts
@@ -122,7 +123,7 @@ class ByteBpe:
 def encoded(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
     """docs with a column ids (array of int): the encoding of each whole text. Null and empty texts give no ids."""
     out = [c for c in docs.columns if c != "ids"]
-    schema = docs.select(*[F.col(f"`{c}`") for c in out]).schema.add("ids", "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in out]).schema.add("ids", T.ArrayType(T.IntegerType()))
     spec = docs.sparkSession.sparkContext.broadcast(open(path).read())
 
     def run(batches):

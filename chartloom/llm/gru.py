@@ -88,8 +88,9 @@ class Gru:
                 dh[at] += s @ wo[c]
         return (out, g, dh) if grad else out
 
-    def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 32, rate: float = 0.08, clip: float = 5.0) -> int:
-        """One pass over a stream of documents, each closed by end: lanes side by side, windows of steps, Adagrad."""
+    def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 32, rate: float = 0.08, clip: float = 5.0, warm: int = 8) -> int:
+        """One pass over a stream of documents, each closed by end: lanes side by side, windows of steps, Adagrad whose
+        rate rises over the first warm windows, so that a short stream moves the model little."""
         per = len(stream) // lanes
         if per < 2:
             lanes, per = 1, len(stream)
@@ -130,11 +131,11 @@ class Gru:
                 dh = np.where((x_id[t] == end)[:, None], np.float32(0), dh)
             flat_dx = dx.reshape(-1, 3 * n)
             grads = {"wx": e.reshape(-1, n).T @ flat_dx, "bx": flat_dx.sum(0), "uzr": guzr, "un": gun, "wc": g["wc"], "bc": g["bc"]}
-            scale = 1 / lanes
+            scale, pace = 1 / lanes, rate * min(1.0, (a / window + 1) / warm)
             for k, v in grads.items():
                 v = np.clip(v * scale, -clip, clip)
                 squares[k] += v * v
-                self.p[k] -= rate * v / np.sqrt(squares[k])
+                self.p[k] -= pace * v / np.sqrt(squares[k])
             ids, back = np.unique(x_id, return_inverse=True)
             ge = np.zeros((len(ids), n), np.float32)
             np.add.at(ge, back.ravel(), flat_dx @ self.p["wx"].T)
@@ -142,7 +143,7 @@ class Gru:
             for k, at, v in updates:
                 v = np.clip(v * scale, -clip, clip)
                 squares[k][at] += v * v
-                self.p[k][at] -= rate * v / np.sqrt(squares[k][at])
+                self.p[k][at] -= pace * v / np.sqrt(squares[k][at])
         self.__dict__.pop("_table", None)
         return lanes * per
 
