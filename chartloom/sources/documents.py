@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import intake, suffix
 from .schemas import TRUTH
@@ -64,7 +65,7 @@ def plain_text() -> Recogniser:
 
 def tagged(df: DataFrame, factory: Callable[[], Callable[[str], dict[str, list[str]]]], text: str = "text") -> DataFrame:
     """df with an array of (label, entity) from a named-entity plug-in; empty without one that finds any."""
-    schema = df.schema.add("entities", "array<struct<label:string,entity:string>>")
+    schema = T.StructType([*df.schema.fields, T.StructField("entities", T.ArrayType(T.StructType().add("label", "string").add("entity", "string")))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = factory()
