@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches, texts, written
+from .common import checked, text_batches, texts, written
 from .components import components
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -179,7 +179,8 @@ def sources(docs: DataFrame, wanted: DataFrame, key: str, text: str, settings: S
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     """Those of pairs (a, b: fingerprints) whose bags overlap enough, as a written table. nodes: (fp, key)."""
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    ends = written(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "ends")
+    ends = checked(ends, settings.broadcast_rows)
 
     def prints(batches):
         for batch in batches:
@@ -228,7 +229,7 @@ def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, te
     blocks = unsettled.groupBy("bucket").agg(F.count("*").alias("members"))
     blocks = blocks.select("bucket", F.ceil(F.col("members") / settings.block).cast("int").alias("blocks"), (F.col("members") > settings.small).alias("large"))
     placed = written(unsettled.join(blocks, "bucket"), "placed")
-    wanted = placed.where("large").select("fp").distinct()
+    wanted = written(placed.where("large").select("fp").distinct(), "large")
     bags = placed.select(F.lit(b"").alias("fp"), F.lit(b"").alias("bag")).limit(0)
     if not wanted.isEmpty():
 
@@ -239,6 +240,7 @@ def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, te
                 data = [np.sort(np.repeat(e >> np.uint64(32), c).astype(np.uint32)).tobytes() for e, c in found]
                 yield pa.RecordBatch.from_arrays([pa.array(map(fingerprint, all_words), pa.binary()), pa.array(data, pa.binary())], names=["fp", "bag"])
 
+        wanted = checked(wanted, settings.broadcast_rows)
         bags = sources(docs, nodes.join(wanted, "fp", "left_semi"), key, text, settings).mapInArrow(bag_rows, "fp binary, bag binary")
         bags = written(bags.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "bags")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -311,8 +313,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     or more. Texts of the same words (case aside) are one node, so copies are not compared with one another. Texts
     with fewer words than a shingle make one shingle. Null texts and texts without a word have a null fp and are each
     a class of their own. Null keys are kept; a class without any key has a null class_id. Repeated rows come out
-    once for each. No group is cut: members of buckets of any size are verified against a leader first, then once more
-    against another, and all likely pairs whose components still differ after that are verified one by one.
+    once for each. No group is cut: members of buckets of any size are verified against a leader first, and all likely
+    pairs whose components still differ after that are verified one by one.
     """
     rows = written(signed(docs, key, text, settings), "signed")
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first(F.struct("n", "bands", "sig")).alias("s"))
@@ -321,36 +323,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     buckets = nodes.select("fp", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("fp").alias("leader"), F.max("fp").alias("other")).where("leader <> other").select("bucket", "leader")
     members = written(buckets.join(shared, "bucket"), "members")
-    marks = written(nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "sig", "bands"), "marks")
+    marks = written(nodes.join(checked(written(members.select("fp").distinct(), "in_buckets"), settings.broadcast_rows), "fp", "left_semi").select("fp", "n", "sig", "bands"), "marks")
     named = nodes.select("fp", "key")
     close = (F.least("n", "n_b") / F.greatest("n", "n_b")) >= settings.similarity
     marks_b = marks.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     tried = members.where("fp <> leader").select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct()
     tried = written(likely(tried.join(marks.withColumnRenamed("fp", "a"), "a").join(marks_b, "b").where(close), settings), "pairs")
-    stars = components(verified(tried, docs, named, key, text, settings))
-    for turn in range(2):
-        labelled = members.select("bucket", "fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "fp"))
-        open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        unsettled = written(labelled.join(open_buckets, "bucket").select("bucket", "fp", "component"), "unsettled")
-        if turn == 0:  # a leader of the bucket's largest component, another one in each bucket
-            heads = unsettled.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min_by("fp", F.xxhash64("fp", "bucket")).alias("head"))
-            heads = heads.groupBy("bucket").agg(F.max_by(F.struct("component", "head"), F.struct("size", "component")).alias("h"))
-            heads = heads.select("bucket", F.col("h.component").alias("component_b"), F.col("h.head").alias("b"))
-            pairs = unsettled.join(heads, "bucket").where("component <> component_b").select(F.col("fp").alias("a"), "b").distinct()
-            pairs = likely(pairs.join(marks.withColumnRenamed("fp", "a"), "a").join(marks_b, "b").where(close), settings)
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        else:
-            pairs = across(unsettled.join(marks, "fp"), docs, named, key, text, settings)
-        done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        checked = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if checked.isEmpty():
-            continue
-        tried = tried.union(checked)
-        new = verified(checked, docs, named, key, text, settings)
+    stars = components(verified(tried, docs, named, key, text, settings), broadcast_rows=settings.broadcast_rows)
+    stars = written(stars.withColumnRenamed("node", "fp"), "components")
+    labelled = members.select("bucket", "fp").join(checked(stars, settings.broadcast_rows), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = written(labelled, "labelled")
+    unsettled = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    unsettled = labelled.join(checked(written(unsettled, "open"), settings.broadcast_rows), "bucket")
+    pairs = across(unsettled.join(marks, "fp"), docs, named, key, text, settings)
+    done = written(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "done")
+    pairs = written(pairs.join(checked(done, settings.broadcast_rows), ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        new = verified(pairs, docs, named, key, text, settings)
         if not new.isEmpty():
-            stars = components(new.union(stars.select("node", "component")))
-    classes = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+            stars = components(new.union(stars.select("fp", "component")), broadcast_rows=settings.broadcast_rows)
+            stars = written(stars.withColumnRenamed("node", "fp"), "components")
+    classes = nodes.select("fp", "key", "copies").join(checked(stars, settings.broadcast_rows), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = classes.groupBy("component").agg(F.min("key").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = classes.select("fp", "component").join(ids, "component").select("fp", "class_id", "class_size")
     out = rows.select("key", "fp").join(classes, "fp", "left")
