@@ -14,6 +14,10 @@ import numpy as np
 NAMES = ("embed", "wx", "bx", "uzr", "un", "wc", "bc", "wo", "bo")
 
 
+#: Logits stay within this, so that their exponentials and sums fit single precision.
+LARGEST = 70.0
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -59,11 +63,11 @@ class Gru:
         wc, bc, wo, bo = (self.p[k] for k in ("wc", "bc", "wo", "bo"))
         cls, sub = np.divmod(y, self.size)
         rows = np.arange(len(y))
-        logits = h @ wc + bc
-        logits -= logits.max(1, keepdims=True)
+        ones = np.ones(max(self.classes, self.size), h.dtype)
+        logits = np.clip(h @ wc + bc, -LARGEST, LARGEST)
         own = logits[rows, cls]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits @ ones[: self.classes]
         out = own - np.log(total)
         if grad:
             d = logits / total[:, None]
@@ -75,11 +79,10 @@ class Gru:
         for c in np.flatnonzero(np.diff(ends)):
             at = order[ends[c] : ends[c + 1]]
             hc, k = h[at], sub[at]
-            s = hc @ wo[c].T + bo[c]
-            s -= s.max(1, keepdims=True)
+            s = np.clip(hc @ wo[c].T + bo[c], -LARGEST, LARGEST)
             own = s[np.arange(len(at)), k]
             np.exp(s, out=s)
-            total = s.sum(1)
+            total = s @ ones[: self.size]
             out[at] += own - np.log(total)
             if grad:
                 s /= total[:, None]
@@ -147,7 +150,7 @@ class Gru:
         self.__dict__.pop("_table", None)
         return lanes * per
 
-    def score(self, docs: list[np.ndarray], end: int, lanes: int = 256, window: int = 64) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], end: int, lanes: int = 256, window: int = 128) -> np.ndarray:
         """Natural log probability of each document (word numbers, the last is end). State runs through a document
         across windows and is reset at its start; documents are laid out over lanes by length."""
         out = np.zeros(len(docs))
