@@ -37,4 +37,6 @@ FROM orders JOIN customer ON o_custkey = c_custkey"""
 def notes(spark: SparkSession, sf_dir: str, noisy: bool = True) -> DataFrame:
     """doc_id, kind, text for each order; the views are private to this call."""
     sql = rendered(noisy).replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}")
-    return spark.sql(sql, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    # a small table is one file and so one task; its narrow rows are dealt out before they become whole texts
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return spark.sql(sql, orders=orders, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
