@@ -92,7 +92,8 @@ def clustered(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def learn(labelled: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Document frequencies over all labelled rows; centroids from a bounded sample of them for each language.
 
-    Rows with a null text or language teach nothing. Without any row the model knows no language and rejects all.
+    Rows with a null text or language, or without a letter, teach nothing. Without any other the model knows no
+    language and rejects all.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
 
@@ -126,6 +127,8 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), key: str = "doc_
     by: dict[str, list[np.ndarray]] = {}
     for r in sorted(sample.mapInArrow(vectors, "lang string, vector binary").collect()):
         by.setdefault(r.lang, []).append(np.frombuffer(r.vector, np.float16).astype(np.float32))
+    if not by:
+        return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
     names, centroids, owner, limit = sorted(by), [], [], []
     for k, name in enumerate(names):
         x = np.stack(by[name])
