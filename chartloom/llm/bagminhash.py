@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked, text_batches, texts, written
+from .common import checked, fresh, text_batches, texts, written
 from .components import components
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -362,7 +362,8 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     out = counted.join(best, counted["_class"].eqNullSafe(best["class_id"]) & (counted["_fp"] == best["best"]) & counted["_key"].eqNullSafe(best["class_id"]), "left")
     out = written(out.select("_key", "_fp", "_n", F.col("best").isNotNull().alias("_stays")), "decisions")
     drop, again = out.where("not _stays").select("_key", "_fp"), out.where("_stays and _n > 1").select("_key", "_fp")
-    at, names = docs.columns.index(text), [*docs.columns, "_fp"]
+    at, mark = docs.columns.index(text), fresh("_fp", docs.columns)
+    names = [*docs.columns, mark]
 
     def prints(batches):
         for batch in batches:
@@ -371,12 +372,12 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
 
     if drop.count() <= settings.broadcast_rows:
         drop = F.broadcast(drop)
-    marked = text_batches(docs).mapInArrow(prints, T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
-    same = lambda t: marked[key].eqNullSafe(t["_key"]) & (marked["_fp"] == t["_fp"])
+    marked = text_batches(docs).mapInArrow(prints, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
+    same = lambda t: marked[key].eqNullSafe(t["_key"]) & (marked[mark] == t["_fp"])
     kept = marked.join(drop, same(drop), "left_anti")
     if again.isEmpty():
-        return kept.drop("_fp")
+        return kept.drop(mark)
     kept = written(kept, "kept")
     few = F.broadcast(again) if again.count() <= settings.broadcast_rows else again
-    same = lambda t: kept[key].eqNullSafe(t["_key"]) & (kept["_fp"] == t["_fp"])
-    return kept.join(few, same(few), "left_anti").drop("_fp").union(kept.join(few, same(few), "left_semi").dropDuplicates([key, "_fp"]).drop("_fp"))
+    same = lambda t: kept[key].eqNullSafe(t["_key"]) & (kept[mark] == t["_fp"])
+    return kept.join(few, same(few), "left_anti").drop(mark).union(kept.join(few, same(few), "left_semi").dropDuplicates([key, mark]).drop(mark))
