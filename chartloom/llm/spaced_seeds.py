@@ -59,35 +59,46 @@ def overlap(h: Column, g: Column, shift: Column, settings: Settings) -> Column:
     return F.transform(F.array(equal), lambda e: F.struct(best(e).alias("best"), window.alias("window")))[0]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(key, item_id, first_token, n_window, n_equal, similarity): the best overlap of each document and item that share one.
+def row_of(docs: DataFrame, key: str, text: str) -> Column:
+    """A row's key and a hash of its text, so that rows without a key, or with one of many, make no group."""
+    return F.struct(docs[f"`{key}`"].alias("key"), F.xxhash64(docs[f"`{text}`"]).alias("text"))
 
-    An overlap is a window of 13 tokens along one diagonal (the whole item, if shorter) of which 75 % or more are
-    equal. Tokens are lower-cased runs of letters and digits. Items and documents shorter than a mask's span (8
-    tokens) carry too little evidence and are never reported; null texts count as empty. Null keys are kept, null item
-    ids as well; repeated rows are reported once. An empty table gives an empty result. Seeds of the benchmark are
-    broadcast when there are at most broadcast_seeds of them, else both sides are shuffled.
-    """
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, settings: Settings) -> DataFrame:
+    """(doc, item, window, n_equal, first_token): the best window along each diagonal that is an overlap. doc: see row_of."""
     if len({len(m) for m in settings.masks}) != 1 or any(m[0] != "1" or m[-1] != "1" for m in settings.masks):
         raise ValueError("masks must have one span and begin and end with 1")
     items = written(benchmark.select(F.col(f"`{item}`").alias("item"), token_hashes(F.col(f"`{item_text}`")).alias("g")).distinct(), "items")
     known = written(seeded(items.withColumnRenamed("g", "h"), "item", "q", settings.masks).distinct(), "seeds")
-    hashed = docs.select(F.col(f"`{key}`").alias("doc"), token_hashes(F.col(f"`{text}`")).alias("h"))
+    row = row_of(docs, key, text)
+    hashed = docs.select(row.alias("doc"), token_hashes(F.col(f"`{text}`")).alias("h"))
     small = known.count() <= settings.broadcast_seeds
     hits = seeded(hashed, "doc", "p", settings.masks).join(F.broadcast(known) if small else known, "seed")
     hits = written(hits.select("doc", "item", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
     placed = hits.join(F.broadcast(items) if small else items, hits["item"].eqNullSafe(items["item"])).select("doc", F.struct(hits["item"].alias("item"), "shift", "g").alias("c"))
-    # a document meets its hits once, with all of them; their number is bounded by its length and the benchmark's
+    # a row meets its hits once, with all of them; their number is bounded by its length and the benchmark's
     placed = written(placed.groupBy("doc").agg(F.collect_list("c").alias("cs")), "placed")
     few = placed.count() <= settings.broadcast_rows
     wanted = placed.select(F.col("doc").alias("_doc"))
-    source = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    source = docs.select(row.alias("doc"), F.col(f"`{text}`").alias("text"))
     source = source.join(F.broadcast(wanted) if few else wanted, source["doc"].eqNullSafe(wanted["_doc"]), "left_semi")
     found = source.select("doc", token_hashes(F.col("text")).alias("h")).join(placed.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
     found = found.select("doc", F.explode(F.transform("cs", lambda c: F.when((c["shift"] < F.size("h")) & (c["shift"] + F.size(c["g"]) > 0), F.struct(c["item"].alias("item"), overlap(F.col("h"), c["g"], c["shift"], settings).alias("o"))))).alias("f"))
     found = found.where("f is not null").select("doc", "f.item", "f.o.window", "f.o.best.n_equal", (-F.col("f.o.best.back")).alias("first_token"))
-    found = found.where(F.col("n_equal") >= F.ceil(F.col("window") * settings.share))
-    best = found.groupBy("doc", "item").agg(F.max(F.struct((F.col("n_equal") / F.col("window")).alias("similarity"), "n_equal", (-F.col("first_token")).alias("back"), "window")).alias("b"))
+    return found.where(F.col("n_equal") >= F.ceil(F.col("window") * settings.share))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """(key, item_id, first_token, n_window, n_equal, similarity): the best overlap of each document and item that share one.
+
+    An overlap is a window of 13 tokens along one diagonal (the whole item, if shorter) of which 75 % or more are
+    equal. Tokens are lower-cased runs of letters and digits. Items and documents shorter than a mask's span (8
+    tokens) carry too little evidence and are never reported; null texts count as empty. Null keys are kept, null item
+    ids as well; a key's repeated rows are reported once, by the best of them. An empty table gives an empty result.
+    Seeds of the benchmark are broadcast when there are at most broadcast_seeds of them, else both sides are shuffled.
+    """
+    found = overlaps(docs, benchmark, key, text, item, item_text, settings)
+    best = found.groupBy(F.col("doc.key").alias("doc"), "item").agg(F.max(F.struct((F.col("n_equal") / F.col("window")).alias("similarity"), "n_equal", (-F.col("first_token")).alias("back"), "window")).alias("b"))
     return best.select(
         F.col("doc").alias(key), F.col("item").alias(item), (-F.col("b.back")).cast("long").alias("first_token"), F.col("b.window").cast("long").alias("n_window"),
         F.col("b.n_equal").cast("long").alias("n_equal"), F.col("b.similarity").alias("similarity"),
@@ -95,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs whose key has no overlap with the benchmark, unchanged."""
-    bad = written(contaminated(docs, benchmark, key, text, settings=settings).select(F.col(key).alias("_bad")).distinct(), "contaminated")
+    """The rows of docs without an overlap with the benchmark, unchanged; rows of one key, or none, are told apart by their texts."""
+    bad = written(overlaps(docs, benchmark, key, text, "item_id", "text", settings).select(F.col("doc").alias("_bad")).distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= settings.broadcast_rows else bad
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad, row_of(docs, key, text).eqNullSafe(bad["_bad"]), "left_anti")
