@@ -3,7 +3,7 @@
 The vocabulary's merges never cross from a character other than a space to a space, nor a line feed, so the number of
 tokens of a text is the sum over its pre-tokens (spaces and the run after them, or a line feed). Tier one is a
 broadcast hash table with the lengths of frequent pre-tokens; tier two a cache in each worker, which encodes what it
-has not seen. No pre-token is shuffled.
+has not seen. The table comes from a bounded summary of each task's texts; no pre-token is a shuffle's key.
 """
 
 from __future__ import annotations
@@ -11,17 +11,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, texts
+from .common import text_batches, texts, written
 
 SPLIT = re.compile(r" *[^ \n]+|\n| +").findall
 TABLE_SIZE = 1 << 16
-TABLE_DOCS = 4096
+TASK_PIECES = 1 << 14
 CACHE_PIECES = 200_000
+#: Longer pre-tokens are neither counted for the table nor remembered.
+PIECE_CHARS = 64
 
 
 def pretokens(text: str) -> list[str]:
@@ -48,7 +52,7 @@ class Lengths(dict):
         n = self.cache.get(piece)
         if n is None:
             n = self.encode(piece)
-            if len(piece) <= 64:
+            if len(piece) <= PIECE_CHARS:
                 if len(self.cache) >= self.limit:
                     self.cache.clear()
                 self.cache[piece] = n
@@ -58,16 +62,46 @@ class Lengths(dict):
         return sum(map(self.__getitem__, pretokens(text)))
 
 
-def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", size: int = TABLE_SIZE, sample: int = TABLE_DOCS) -> dict[str, int]:
-    """Lengths of the size most frequent pre-tokens in at most sample texts.
+def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", size: int = TABLE_SIZE, each: int = TASK_PIECES) -> dict[str, int]:
+    """Lengths of the size most frequent pre-tokens, counted over all texts.
 
-    The table decides which tier answers, never the answer, so a bounded sample serves and the corpus is read once.
+    A task counts its own texts (the rarer half goes whenever CACHE_PIECES are held) and hands on one row with its each
+    most frequent pre-tokens; sixteen rows at a time are added up, and size entries of the sum are kept. So the counts
+    are estimates. They decide which tier answers, never the answer.
     """
-    seen: Counter[str] = Counter()
-    for row in docs.select(F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull()).take(sample):
-        seen.update(p for p in pretokens(row[0]) if len(p) <= 64)
+
+    def count(batches):
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for t in texts(batch.column(0)):
+                seen.update([p for p in pretokens(t) if len(p) <= PIECE_CHARS])
+                if len(seen) > CACHE_PIECES:
+                    seen = Counter(dict(seen.most_common(CACHE_PIECES // 2)))
+        top = seen.most_common(each)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([[p for p, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["part", "pieces", "ns"]
+        )
+
+    def added(rows) -> list[tuple[str, int]]:
+        total: Counter[str] = Counter()
+        for pieces, ns in rows:
+            for p, n in zip(pieces, ns):
+                total[p] += int(n)
+        return sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        top = added(zip(group["pieces"], group["ns"]))
+        return pd.DataFrame({"part": [group["part"].iloc[0] // 16], "pieces": [[p for p, _ in top]], "ns": [[n for _, n in top]]})
+
+    schema = "part long, pieces array<string>, ns array<long>"
+    rows = text_batches(docs.select(F.col(f"`{text}`")))
+    parts = rows.rdd.getNumPartitions()
+    found = written(rows.mapInArrow(count, schema), "pieces")
+    while parts > 16:
+        found = written(found.groupBy(F.floor(F.col("part") / 16)).applyInPandas(merge, schema), "pieces")
+        parts = -(-parts // 16)
     lengths = Lengths(model, {})
-    return {p: lengths.encode(p) for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]}
+    return {p: lengths.encode(p) for p, _ in added((r.pieces, r.ns) for r in found.collect())}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_id", text: str = "text", table: dict[str, int] | None = None) -> DataFrame:
