@@ -56,6 +56,13 @@ def test_awkward(spark, awkward, awkward_rows, empty):
     assert {r.train_tokens for r in alone} == {0} and {r.n_known for r in alone} == {0}
 
 
+def test_frequent_words_are_whole_steps(spark):
+    counts = spark.createDataFrame([(f"w{k}".encode(), c) for k, c in enumerate([1, 1, 2, 40, 41, 10**9, 10**9 + 1])], "word binary, c long")
+    for most, found in ((7, 7), (6, 5), (5, 5), (4, 4), (3, 3), (2, 2), (1, 0), (0, 0)):
+        assert len(lm.frequent(counts, most)) == found
+    assert [c for _, c in lm.frequent(counts, 4)] == [10**9 + 1, 10**9, 41, 40]
+
+
 def small(seed=1):
     return Gru(np.array([9.0, 8, 7, 6, 5, 4, 3]), hidden=5, seed=seed)
 

@@ -57,6 +57,8 @@ def test_near_duplicates(awkward, awkward_rows, empty):
     assert kept.columns == awkward.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 5, None, 6, 7, 9, 10, 11, 12, 13, 14, 15])
     assert bmh.kept_documents(empty).count() == 0
+    clash = awkward.select("doc_id", "text", "fp").withColumnRenamed("fp", "_FP")
+    assert bmh.kept_documents(clash).columns == clash.columns and bmh.kept_documents(clash).count() == kept.count()
 
 
 def test_near_duplicates_query(spark):
@@ -149,7 +151,9 @@ def test_seeds_bear_substitutions(spark, awkward, empty):
     assert got == Counter({(d, i): 1 for d in (1, 2, 4, None) for i in (10, None)})
     one = spaced_seeds.Settings(broadcast_seeds=0, broadcast_rows=0)
     assert Counter((r.doc_id, r.item_id) for r in spaced_seeds.contaminated(docs, bench, settings=one).collect()) == got
-    assert {r.doc_id for r in spaced_seeds.clean_documents(docs, bench).collect()} == {3, 5, 6, 7}
+    more = docs.union(spark.createDataFrame([(k, " ".join(fill(40)), 1, 2) for k in (None, 1)], docs.schema))
+    for s in (spaced_seeds.Settings(), one):
+        assert Counter(r.doc_id for r in spaced_seeds.clean_documents(more, bench, settings=s).collect()) == Counter([1, None, 3, 5, 6, 7])
     assert spaced_seeds.contaminated(empty, bench).count() == 0 and spaced_seeds.contaminated(docs, bench.limit(0)).count() == 0
     assert spaced_seeds.contaminated(awkward, bench).count() == 0
     with pytest.raises(ValueError):

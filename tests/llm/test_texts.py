@@ -134,6 +134,16 @@ def test_counts(awkward, awkward_rows, empty, spark):
     same(queries.op10_token_counts(spark, SF), [(k, len(t.encode()), n := len(PIECES.encode(t)), n > 4096) for k, t in texts])
 
 
+def test_table_holds_the_most_frequent(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").union(spark.createDataFrame([(None,), ("",), ("z" * 100,)], "text string"))
+    seen = Counter(p for r in docs.where("text is not null").collect() for p in token_counts.pretokens(r.text) if len(p) <= token_counts.PIECE_CHARS)
+    model = open(P.path(queries.PIECE_FILE), "rb").read()
+    table = token_counts.frequent_lengths(docs.repartition(20), model, size=50)
+    assert len(table) == 50 and len(set(table) & {p for p, _ in seen.most_common(50)}) >= 40  # sums of the tasks' fifty most frequent
+    assert all(n == LENGTHS.encode(p) for p, n in table.items())
+    assert len(token_counts.frequent_lengths(docs.repartition(20), model)) == len(seen)
+
+
 LENGTHS = token_counts.Lengths(open(P.path(queries.PIECE_FILE), "rb").read(), {}, limit=50)
 
 
@@ -159,6 +169,7 @@ def test_languages(spark, awkward, awkward_rows, empty):
     assert langid.predicted(empty, model).count() == 0
     nothing = langid.learn(empty)
     assert {r.lang_pred for r in langid.predicted(awkward, nothing).collect()} == {"und"}
+    assert langid.learn(awkward.where("doc_id in (4, 9, 14)")).languages == []
 
 
 def test_far_texts_are_rejected(spark):
