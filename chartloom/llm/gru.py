@@ -22,6 +22,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, where each begins in the sorted order, and that order."""
+    order = np.argsort(x, kind="stable")
+    ids, starts = np.unique(x[order], return_index=True)
+    return ids, starts, order
+
+
 class Gru:
     def __init__(self, counts: np.ndarray, hidden: int = 24, seed: int = 5):
         """counts: of each word number; none may be below 1."""
@@ -72,7 +79,7 @@ class Gru:
         if grad:
             d = logits / total[:, None]
             d[rows, cls] -= 1
-            g = {"wc": h.T @ d, "bc": d.sum(0), "wo": {}, "bo": {}}
+            g = {"wc": h.T @ d, "bc": d.sum(0), "wo": np.zeros(wo.shape, h.dtype), "bo": np.zeros(bo.shape, h.dtype)}
             dh = d @ wc.T
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
@@ -91,64 +98,60 @@ class Gru:
                 dh[at] += s @ wo[c]
         return (out, g, dh) if grad else out
 
-    def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 32, rate: float = 0.08, clip: float = 5.0, warm: int = 8) -> int:
+    def train(self, stream: np.ndarray, end: int, lanes: int = 256, window: int = 32, rate: float = 0.08, clip: float = 5.0, warm: int = 8) -> int:
         """One pass over a stream of documents, each closed by end: lanes side by side, windows of steps, Adagrad whose
-        rate rises over the first warm windows, so that a short stream moves the model little."""
-        per = len(stream) // lanes
-        if per < 2:
-            lanes, per = 1, len(stream)
-        if per < 2:
+        rate rises over the first warm windows, so that a short stream moves the model little. Its sums of squares go
+        on in the next call. The last lane is filled with ends; short streams have fewer lanes."""
+        if not len(stream):
             return 0
-        body = stream[: lanes * per].reshape(lanes, per).T
+        lanes = max(1, min(lanes, len(stream) // window))
+        per = -(-len(stream) // lanes)
+        body = np.concatenate([stream, np.full(lanes * per - len(stream), end, stream.dtype)]).reshape(lanes, per).T
         inputs = np.concatenate([np.full((1, lanes), end, body.dtype), body[:-1]])
         h, n = np.zeros((lanes, self.hidden), np.float32), self.hidden
-        squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.p.items()}
+        if not hasattr(self, "_squares"):
+            self._squares, self._windows = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.p.items()}, 0
         for a in range(0, per, window):
             x_id, y_id = inputs[a : a + window], body[a : a + window]
-            e = self.p["embed"][x_id]
-            x = e @ self.p["wx"] + self.p["bx"]
-            saved, states = [], []
+            e = self.p["embed"][x_id.ravel()]
+            x = (e @ self.p["wx"] + self.p["bx"]).reshape(len(x_id), lanes, 3 * n)
+            goes_on = (x_id != end).astype(np.float32)[:, :, None]
+            before, states = np.empty((len(x_id), lanes, n), np.float32), np.empty((len(x_id), lanes, n), np.float32)
+            gates = np.empty((4, len(x_id), lanes, n), np.float32)
             for t in range(len(x_id)):
-                h = np.where((x_id[t] == end)[:, None], np.float32(0), h)
-                new, *rest = self.step(x[t], h)
-                saved.append((h, *rest))
-                states.append(new)
-                h = new
-            flat = np.concatenate(states)
-            _, g, dh_out = self.outputs(flat, y_id.ravel(), grad=True)
+                before[t] = h * goes_on[t]
+                h, *rest = self.step(x[t], before[t])
+                states[t], gates[:, t] = h, rest
+            _, g, dh_out = self.outputs(states.reshape(-1, n), y_id.ravel(), grad=True)
             dh_out = dh_out.reshape(len(x_id), lanes, n)
-            dx, dh = np.zeros_like(x), np.zeros((lanes, n), np.float32)
-            guzr, gun = np.zeros_like(self.p["uzr"]), np.zeros_like(self.p["un"])
+            z, r, u, c = gates
+            by_c, by_z, by_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), u * r * (1 - r)
+            back = z * goes_on
+            dx, du, dh = np.empty_like(x), np.empty_like(u), np.zeros((lanes, n), np.float32)
+            into_zr, into_n = np.ascontiguousarray(self.p["uzr"].T), np.ascontiguousarray(self.p["un"].T)
             for t in range(len(x_id) - 1, -1, -1):
-                before, z, r, u, c = saved[t]
-                dh = dh + dh_out[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * u * r * (1 - r)
-                du = dc * r
-                dzr = np.concatenate([dz, dr], 1)
-                dx[t] = np.concatenate([dzr, dc], 1)
-                guzr += before.T @ dzr
-                gun += before.T @ du
-                dh = dh * z + dzr @ self.p["uzr"].T + du @ self.p["un"].T
-                dh = np.where((x_id[t] == end)[:, None], np.float32(0), dh)
-            flat_dx = dx.reshape(-1, 3 * n)
-            grads = {"wx": e.reshape(-1, n).T @ flat_dx, "bx": flat_dx.sum(0), "uzr": guzr, "un": gun, "wc": g["wc"], "bc": g["bc"]}
-            scale, pace = 1 / lanes, rate * min(1.0, (a / window + 1) / warm)
-            for k, v in grads.items():
-                v = np.clip(v * scale, -clip, clip)
-                squares[k] += v * v
-                self.p[k] -= pace * v / np.sqrt(squares[k])
-            ids, back = np.unique(x_id, return_inverse=True)
-            ge = np.zeros((len(ids), n), np.float32)
-            np.add.at(ge, back.ravel(), flat_dx @ self.p["wx"].T)
-            updates = [("embed", ids, ge)] + [(k, c, v) for k in ("wo", "bo") for c, v in g[k].items()]
+                dh += dh_out[t]
+                d = dx[t]
+                dc = np.multiply(dh, by_c[t], out=d[:, 2 * n :])
+                np.multiply(dh, by_z[t], out=d[:, :n])
+                np.multiply(dc, by_r[t], out=d[:, n : 2 * n])
+                np.multiply(dc, r[t], out=du[t])
+                dh = dh * back[t] + (d[:, : 2 * n] @ into_zr + du[t] @ into_n) * goes_on[t]
+            flat_dx, flat_before = dx.reshape(-1, 3 * n), before.reshape(-1, n)
+            ids, starts, order = _runs(x_id.ravel())
+            grads = {
+                "wx": e.T @ flat_dx, "bx": flat_dx.sum(0), "uzr": flat_before.T @ flat_dx[:, : 2 * n], "un": flat_before.T @ du.reshape(-1, n), **g,
+            }
+            scale, pace = 1 / lanes, rate * min(1.0, (self._windows + 1) / warm)
+            updates = [(k, slice(None), v) for k, v in grads.items()]
+            updates.append(("embed", ids, np.add.reduceat((flat_dx @ self.p["wx"].T)[order], starts)))
             for k, at, v in updates:
-                v = np.clip(v * scale, -clip, clip)
-                squares[k][at] += v * v
-                self.p[k][at] -= pace * v / np.sqrt(squares[k][at])
+                v = np.clip(v * np.float32(scale), -clip, clip)
+                self._squares[k][at] += v * v
+                self.p[k][at] -= pace * v / np.sqrt(self._squares[k][at])
+            self._windows += 1
         self.__dict__.pop("_table", None)
-        return lanes * per
+        return len(stream)
 
     def score(self, docs: list[np.ndarray], end: int, lanes: int = 256, window: int = 128) -> np.ndarray:
         """Natural log probability of each document (word numbers, the last is end). State runs through a document

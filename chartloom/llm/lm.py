@@ -1,8 +1,9 @@
 """Language-model scores of whole documents: a smoothed unigram base and a gated recurrent model.
 
-Counts are taken over all training documents. Every input partition trains the recurrent model on its share of them
-from one common start, and the weights are averaged by tokens in a tree, so the work grows with the corpus and only one
-model reaches the driver. Frequent words (a bounded table) are looked up in the workers; the rest are joined with the
+Counts are taken over all training documents, and the recurrent model learns from each of them once. A round takes the
+share of the documents that a hash of the text deals it: every input partition trains on its own from one common start,
+and the weights are averaged by tokens in a tree; that mean is the start of the next round. So the work grows with the
+corpus and a few models reach the driver. Frequent words (a bounded table) are looked up in the workers; the rest are joined with the
 counts.
 """
 
@@ -33,8 +34,8 @@ class Settings:
     #: Words with a number of their own in the recurrent model; the others share one and are told apart by their counts.
     vocabulary: int = 8192
     hidden: int = 24
-    #: One of so many training texts (by a hash of the text) goes through backpropagation; counts use all.
-    train_share: int = 16
+    #: Rounds of training between which weights are averaged; each training text goes through backpropagation in one.
+    rounds: int = 4
     #: Words whose counts the workers hold, at most.
     table_words: int = 1 << 18
     lanes: int = 256
@@ -117,24 +118,37 @@ class Tables:
 
 
 def trained(training: DataFrame, tables: Tables) -> Gru:
-    """Every partition trains from the same start on its share; weights are averaged by tokens, sixteen rows at a time."""
+    """The model after all rounds. Weights are averaged by tokens, sixteen rows at a time."""
     s = tables.settings
-    known = training.sparkSession.sparkContext.broadcast(tables)
+    model = Gru(tables.start, s.hidden, s.seed)
+    words = [w for w, _ in tables.words if w != END][: tables.n_vocabulary - 2]
+    for k in range(s.rounds):
+        mean = averaged(training, (tables.start, words, tables.end, tables.unknown), model.pack(), k, s)
+        if mean is not None:
+            model.unpack(mean)
+    return model
+
+
+def averaged(training: DataFrame, vocabulary: tuple, start: bytes, k: int, s: Settings) -> np.ndarray | None:
+    """The mean of the weights that the partitions reach from start over the texts of round k; None without any."""
+    known = training.sparkSession.sparkContext.broadcast((vocabulary, start))
 
     def fit(batches):
-        t = known.value.ready()
-        model, done, held, size = Gru(t.start, s.hidden, s.seed), 0, [], 0
+        (counts, words, end, unknown), flat = known.value
+        number = {w: i + 2 for i, w in enumerate(words)}
+        model, done, held, size = Gru(counts, s.hidden, s.seed).unpack(np.frombuffer(flat, np.float32)), 0, [], 0
         for batch in batches:
             for data in raw(batch.column(0)):
-                if xxhash.xxh3_64_intdigest(data) % s.train_share == 0:
-                    ids = np.fromiter((t.rank.get(w, -1) for w in words_of(data)), np.int64)
-                    held.append(np.append(t.number[ids], t.end).astype(np.int32))
-                    size += len(ids) + 1
+                if xxhash.xxh3_64_intdigest(data) % s.rounds == k:
+                    ids = [number.get(w, unknown) for w in words_of(data)]
+                    ids.append(end)
+                    held.append(np.array(ids, np.int32))
+                    size += len(ids)
             if size > s.train_tokens:
-                done += model.train(np.concatenate(held), t.end)
+                done += model.train(np.concatenate(held), end)
                 held, size = [], 0
         if held:
-            done += model.train(np.concatenate(held), t.end)
+            done += model.train(np.concatenate(held), end)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([done], pa.int64()), pa.array([model.pack() if done else None], pa.binary())], names=["part", "n", "weights"])
 
     rows = text_batches(training.select("text"))
@@ -150,12 +164,9 @@ def trained(training: DataFrame, tables: Tables) -> Gru:
     while parts > 16:
         found = written(found.groupBy(F.floor(F.col("part") / 16)).applyInPandas(mean, "part long, n long, weights binary"), "weights")
         parts = -(-parts // 16)
-    model = Gru(tables.start, s.hidden, s.seed)
-    last = found.collect()
-    if last:
-        n = sum(r.n for r in last)
-        model.unpack(sum(np.frombuffer(r.weights, np.float32) * (r.n / n) for r in sorted(last, key=lambda r: r.part)))
-    return model
+    last = sorted(found.collect(), key=lambda r: r.part)
+    n = sum(r.n for r in last)
+    return sum(np.frombuffer(r.weights, np.float32) * (r.n / n) for r in last) if last else None
 
 
 def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -30,7 +30,7 @@ def check(frame, rows, held):
     return got
 
 
-@pytest.mark.parametrize("some", [lm.Settings(), lm.Settings(table_words=40, vocabulary=20, chunk_tokens=500, lanes=4, train_share=1)])
+@pytest.mark.parametrize("some", [lm.Settings(), lm.Settings(table_words=40, vocabulary=20, chunk_tokens=500, lanes=4, rounds=2, train_tokens=300)])
 def test_scores(spark, some):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     held = [zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
