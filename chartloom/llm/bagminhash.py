@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked, fresh, text_batches, texts, written
+from .common import checked, fresh, lean, text_batches, texts, written
 from .components import components
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +153,7 @@ def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFram
             )
 
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return text_batches(source).mapInArrow(run, f"key {source.schema[0].dataType.simpleString()}, fp binary, n long, bands array<long>, sig binary")
+    return text_batches(source).mapInArrow(lean(run), f"key {source.schema[0].dataType.simpleString()}, fp binary, n long, bands array<long>, sig binary")
 
 
 def overlap_of_sorted(x: np.ndarray, y: np.ndarray) -> float:
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(words_of(t)) for t in texts(batch.column(0))], pa.binary()), batch.column(0)], names=["fp", "text"])
 
-    found = sources(docs, nodes.join(ends, "fp", "left_semi"), key, text, settings).mapInArrow(prints, "fp binary, text string")
+    found = sources(docs, nodes.join(ends, "fp", "left_semi"), key, text, settings).mapInArrow(lean(prints), "fp binary, text string")
     found = written(found.join(ends, "fp", "left_semi"), "texts")
     one = pairs.join(found.withColumnsRenamed({"fp": "a", "text": "text_a"}), "a")
     two = one.join(found.withColumnsRenamed({"fp": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
@@ -201,7 +201,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
                 keep.append(weighted_jaccard(bag(words_of(x), settings.words), last[1]) >= settings.similarity)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return written(text_batches(two).mapInArrow(check, "a binary, b binary").distinct(), "links")
+    return written(text_batches(two).mapInArrow(lean(check), "a binary, b binary").distinct(), "links")
 
 
 def likely(pairs: DataFrame, settings: Settings) -> DataFrame:
@@ -213,7 +213,7 @@ def likely(pairs: DataFrame, settings: Settings) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, size) for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= settings.agreement * size, pa.bool_()))
 
-    return text_batches(pairs.select("a", "b", "sig", "sig_b"), 4096).mapInArrow(agree, "a binary, b binary")
+    return text_batches(pairs.select("a", "b", "sig", "sig_b"), 4096).mapInArrow(lean(agree), "a binary, b binary")
 
 
 def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
@@ -241,7 +241,7 @@ def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, te
                 yield pa.RecordBatch.from_arrays([pa.array(map(fingerprint, all_words), pa.binary()), pa.array(data, pa.binary())], names=["fp", "bag"])
 
         wanted = checked(wanted, settings.broadcast_rows)
-        bags = sources(docs, nodes.join(wanted, "fp", "left_semi"), key, text, settings).mapInArrow(bag_rows, "fp binary, bag binary")
+        bags = sources(docs, nodes.join(wanted, "fp", "left_semi"), key, text, settings).mapInArrow(lean(bag_rows), "fp binary, bag binary")
         bags = written(bags.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "bags")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = placed.join(bags, "fp", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -303,7 +303,7 @@ def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, te
             yield pa.RecordBatch.from_arrays([pa.array(map(max, a, b), pa.binary()), pa.array(map(min, a, b), pa.binary())], names=["a", "b"])
 
     groups = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return text_batches(groups).mapInArrow(run, "a binary, b binary").distinct()
+    return text_batches(groups).mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -372,7 +372,7 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
 
     if drop.count() <= settings.broadcast_rows:
         drop = F.broadcast(drop)
-    marked = text_batches(docs).mapInArrow(prints, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
+    marked = text_batches(docs).mapInArrow(lean(prints), T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
     same = lambda t: marked[key].eqNullSafe(t["_key"]) & (marked[mark] == t["_fp"])
     kept = marked.join(drop, same(drop), "left_anti")
     if again.isEmpty():

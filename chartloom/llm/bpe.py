@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import text_batches, texts
+from .common import lean, text_batches, texts
 
 #: The split pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -132,7 +132,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF_CHA
             ids = pa.array([bpe.encode(t) for t in texts(batch.column(out.index(text)))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*out, "ids"])
 
-    return text_batches(docs.select(*[F.col(f"`{c}`") for c in out])).mapInArrow(run, schema)
+    return text_batches(docs.select(*[F.col(f"`{c}`") for c in out])).mapInArrow(lean(run), schema)
 
 
 def decoded(frame: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -147,7 +147,7 @@ def decoded(frame: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             out = pa.array([bpe.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*names, "decoded"])
 
-    return text_batches(frame.drop("decoded")).mapInArrow(run, schema)
+    return text_batches(frame.drop("decoded")).mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
@@ -165,4 +165,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             n, ids, data = zip(*(map(bpe.digests, texts(batch.column(1))))) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return text_batches(source).mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, {OUTPUT}")
+    return text_batches(source).mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, {OUTPUT}")

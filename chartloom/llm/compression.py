@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, text_batches
+from .common import lean, raw, text_batches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -102,7 +102,7 @@ def compression_bands(docs: DataFrame, bands: Bands = Bands(), text: str = "text
 
     source = docs.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in keep])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return text_batches(source).mapInArrow(judge, f"{kept}, {OUTPUT}" if kept else OUTPUT)
+    return text_batches(source).mapInArrow(lean(judge), f"{kept}, {OUTPUT}" if kept else OUTPUT)
 
 
 def kept_documents(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
@@ -118,4 +118,4 @@ def kept_documents(docs: DataFrame, bands: Bands = Bands(), text: str = "text")
         for batch in batches:
             yield batch.filter(pa.array([measures(x, bands, packer)[-1] for x in raw(batch.column(at))], pa.bool_()))
 
-    return text_batches(docs).mapInArrow(keep, docs.schema)
+    return text_batches(docs).mapInArrow(lean(keep), docs.schema)

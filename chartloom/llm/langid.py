@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, texts
+from .common import lean, text_batches, texts
 
 DIMENSIONS = 4096
 #: Bytes below 128 that are not letters become spaces; the lead and trail bytes of other characters stay.
@@ -107,7 +107,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), key: str = "doc_
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*seen[at], n], pa.int64())], names=["dim", "n"])
 
-    df = {r.dim: r.n for r in text_batches(rows.select("text")).mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+    df = {r.dim: r.n for r in text_batches(rows.select("text")).mapInArrow(lean(frequencies), "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     n_docs = df.pop(-1, 0)
     idf = np.array([np.log((n_docs + 1) / (df.get(d, 0) + 1)) + 0.1 for d in range(DIMENSIONS)], np.float32)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -125,7 +125,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), key: str = "doc_
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([weighted([counts(t)], idf)[0].astype(np.float16).tobytes()], pa.binary())], names=["lang", "vector"])
 
     by: dict[str, list[np.ndarray]] = {}
-    for r in sorted(sample.mapInArrow(vectors, "lang string, vector binary").collect()):
+    for r in sorted(sample.mapInArrow(lean(vectors), "lang string, vector binary").collect()):
         by.setdefault(r.lang, []).append(np.frombuffer(r.vector, np.float16).astype(np.float32))
     if not by:
         return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
@@ -149,7 +149,7 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
             lang, score, out = known.value.predict(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=[key, "lang_pred", "score", "rejected"])
 
-    return text_batches(source).mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return text_batches(source).mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def kept_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -161,4 +161,4 @@ def kept_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([not x for x in known.value.predict(texts(batch.column(at)))[2]], pa.bool_()))
 
-    return text_batches(docs).mapInArrow(keep, docs.schema)
+    return text_batches(docs).mapInArrow(lean(keep), docs.schema)
