@@ -1,8 +1,10 @@
 """Quality bands, BPE, token counts and languages against plain versions."""
 
+import base64
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -77,6 +79,26 @@ def test_bands_reject_both_sides(spark):
     assert not any(r.kept for r in compression.compression_bands(spark.createDataFrame([(1, noise)], "doc_id long, text string"), tight).collect())
 
 
+@pytest.mark.parametrize("size", [800, 1000, 2000, 4000, 4500, 8000, 19_000, 40_000])
+def test_production_bands_reject_encoded_and_random_text(size):
+    rnd = random.Random(size)
+    words = lambda letters: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 10))) for _ in range(size))[:size].encode()
+    base64_words = b" ".join(base64.b64encode(rnd.randbytes(6)) for _ in range(size))[:size]
+    junk = [base64_words, words(string.ascii_letters + string.digits), words(string.printable[:94])]
+    if size >= 4500:  # 50 lines of 76 bytes are words enough, and small letters are told apart
+        junk += [base64.encodebytes(rnd.randbytes(size))[:size], words(string.ascii_lowercase)]
+    packer = zstandard.ZstdCompressor(level=compression.Bands().level)
+    found = [compression.measures(x, compression.Bands(), packer) for x in junk]
+    assert not any(x[5] for x in found) and not any(x[-1] for x in found)
+
+
+def test_production_bands_keep_clean_documents():
+    rows = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' join '/root/testdata/sf0.01/labels.parquet' using (doc_id) where quality = 1").fetchall()
+    packer = zstandard.ZstdCompressor(level=compression.Bands().level)
+    found = [compression.measures(t.encode(), compression.Bands(), packer) for (t,) in rows]
+    assert len(found) > 300 and all(x[-1] or x[5] for x in found)
+
+
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_str(SPEC)
