@@ -46,6 +46,9 @@ class Bands:
     )
     chunk: tuple[float, float] = (1.72, 3.4)
     chunk_bytes: int = 4096
+    #: What is left after the whole chunks is judged by the limits of its length, with bytes before it up to so many.
+    least_rest: int = 1024
+    #: Share of the bytes that bad chunks may hold.
     bad_chunks: float = 0.2
     level: int = 3
     min_words: int = 50
@@ -74,6 +77,10 @@ def repeated_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
+def limits(size: int, bands: Bands) -> tuple[float, float]:
+    return next((a, b) for n, a, b in reversed(bands.whole) if size >= n)
+
+
 def measures(data: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
     """All columns of OUTPUT for one text in UTF-8."""
     words = data.split()
@@ -82,12 +89,16 @@ def measures(data: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tup
     n_repeat = repeated_words(words)
     base_failed = len(words) < bands.min_words or 100 * n_repeat > bands.repeat_percent * len(words)
     ratio = len(data) / len(packer.compress(data)) if data else 0.0
-    low, high = next((a, b) for n, a, b in reversed(bands.whole) if len(data) >= n)
-    size, bad, n_chunks = bands.chunk_bytes, 0, len(data) // bands.chunk_bytes
-    for k in range(n_chunks):
-        r = size / len(packer.compress(data[k * size : (k + 1) * size]))
-        bad += not bands.chunk[0] <= r <= bands.chunk[1]
-    kept = not base_failed and low <= ratio <= high and bad <= bands.bad_chunks * n_chunks
+    low, high = limits(len(data), bands)
+    size, bad, bad_bytes, n_chunks = bands.chunk_bytes, 0, 0, 0
+    if len(data) >= size:
+        for at in range(0, len(data), size):
+            new = min(size, len(data) - at)
+            part = data[at : at + size] if new == size else data[-max(new, bands.least_rest) :]
+            least, most = bands.chunk if new == size else limits(len(part), bands)
+            outside = not least <= len(part) / len(packer.compress(part)) <= most
+            n_chunks, bad, bad_bytes = n_chunks + 1, bad + outside, bad_bytes + outside * new
+    kept = not base_failed and low <= ratio <= high and bad_bytes <= bands.bad_chunks * len(data)
     spaces = sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(data.count(c) for c in SYMBOLS)
     return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), n_repeat, base_failed, ratio, n_chunks, bad, kept
@@ -97,8 +108,8 @@ def compression_bands(docs: DataFrame, bands: Bands = Bands(), text: str = "text
     """One row per row of docs: the columns named in keep (all but the text, if None) and those of OUTPUT.
 
     A null text counts as empty. Empty texts and those under min_words fail the base rules; texts of one repeated
-    word fail by n_repeat_words. The ratio of an empty text is 0. Chunks are whole ones of chunk_bytes, so texts
-    shorter than that are judged as a whole only. Columns of docs whose names clash with OUTPUT's are left out.
+    word fail by n_repeat_words. The ratio of an empty text is 0. Chunks are those of chunk_bytes and what is left after
+    them, so every byte is judged; texts shorter than one are judged as a whole only and have none. Columns of docs whose names clash with OUTPUT's are left out.
     Repeated rows are judged one by one. One pass, no shuffle.
     """
     names = [c.split()[0] for c in OUTPUT.split(", ")]
