@@ -9,6 +9,7 @@ token along it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,13 @@ from .common import written
 
 @dataclass(frozen=True)
 class Settings:
-    #: One span for all masks; 1 keeps a token, 0 ignores it.
-    masks: tuple[str, ...] = ("11010011", "10111001")
+    #: For items of a window or more. One span for all masks; 1 keeps a token, 0 ignores it. With three of 13 tokens
+    #: substituted, whichever they are, one of the masks still fits somewhere.
+    masks: tuple[str, ...] = ("11000101", "10100011")
+    #: For items of exact_below tokens up to a window, of any spans; they hold for a quarter of 8 to 12 tokens likewise.
+    short_masks: tuple[str, ...] = ("11011", "1100011", "1111")
+    #: Items under so many tokens are matched whole.
+    exact_below: int = 8
     #: Tokens of the compared window (or the whole item, if shorter) and the share of them that must be equal.
     window: int = 13
     share: float = 0.75
@@ -41,11 +47,22 @@ def seeds(hashes: Column, mask: str) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in at], F.lit(mask)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeded(rows: DataFrame, id_name: str, at: str, masks: tuple[str, ...]) -> DataFrame:
-    """(id, position, seed) of rows (id, h); the masks' arrays stand one after another, so a position is a remainder."""
-    spans = F.size("h") - (len(masks[0]) - 1)
-    out = rows.select(F.col(id_name), spans.alias("_n"), F.posexplode(F.concat(*[seeds(F.col("h"), m) for m in masks])).alias("_k", "seed"))
-    return out.select(id_name, (F.col("_k") % F.col("_n")).alias(at), "seed")
+def masks_of(length: int, settings: Settings) -> tuple[str, ...]:
+    """The masks for items of so many tokens."""
+    if length < settings.exact_below:
+        return ("1" * length,)
+    return settings.short_masks if length < settings.window else settings.masks
+
+
+def seeded(rows: DataFrame, id_name: str, at: str, masks: set[str]) -> DataFrame:
+    """(id, position, seed) of rows (id, h); arrays of masks of one span stand one after another, so a position is a remainder."""
+
+    def of_span(span):
+        ours = [seeds(F.col("h"), m) for m in sorted(masks) if len(m) == span]
+        out = rows.select(F.col(id_name), (F.size("h") - (span - 1)).alias("_n"), F.posexplode(F.concat(*ours)).alias("_k", "seed"))
+        return out.select(id_name, (F.col("_k") % F.col("_n")).alias(at), "seed")
+
+    return reduce(DataFrame.unionByName, [of_span(n) for n in sorted(set(map(len, masks)))])
 
 
 def overlap(h: Column, g: Column, shift: Column, settings: Settings) -> Column:
@@ -69,11 +86,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
     if len({len(m) for m in settings.masks}) != 1 or any(m[0] != "1" or m[-1] != "1" for m in settings.masks):
         raise ValueError("masks must have one span and begin and end with 1")
     items = written(benchmark.select(F.col(f"`{item}`").alias("item"), token_hashes(F.col(f"`{item_text}`")).alias("g")).distinct(), "items")
-    known = written(seeded(items.withColumnRenamed("g", "h"), "item", "q", settings.masks).distinct(), "seeds")
+    size = F.least(F.size("g"), F.lit(max(settings.window, settings.exact_below)))
+    lengths = [r.n for r in items.select(size.alias("n")).where("n > 0").distinct().collect()]
+    if not lengths:
+        lengths = [settings.window]
+    parts = [seeded(items.where(size == n).withColumnRenamed("g", "h"), "item", "q", set(masks_of(n, settings))) for n in lengths]
+    known = written(reduce(DataFrame.unionByName, parts).distinct(), "seeds")
     row = row_of(docs, key, text)
     hashed = docs.select(row.alias("doc"), token_hashes(F.col(f"`{text}`")).alias("h"))
     small = known.count() <= settings.broadcast_seeds
-    hits = seeded(hashed, "doc", "p", settings.masks).join(F.broadcast(known) if small else known, "seed")
+    hits = seeded(hashed, "doc", "p", {m for n in lengths for m in masks_of(n, settings)}).join(F.broadcast(known) if small else known, "seed")
     hits = written(hits.select("doc", "item", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
     placed = hits.join(F.broadcast(items) if small else items, hits["item"].eqNullSafe(items["item"])).select("doc", F.struct(hits["item"].alias("item"), "shift", "g").alias("c"))
     # a row meets its hits once, with all of them; their number is bounded by its length and the benchmark's
@@ -85,15 +107,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
     found = source.select("doc", token_hashes(F.col("text")).alias("h")).join(placed.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
     found = found.select("doc", F.explode(F.transform("cs", lambda c: F.when((c["shift"] < F.size("h")) & (c["shift"] + F.size(c["g"]) > 0), F.struct(c["item"].alias("item"), overlap(F.col("h"), c["g"], c["shift"], settings).alias("o"))))).alias("f"))
     found = found.where("f is not null").select("doc", "f.item", "f.o.window", "f.o.best.n_equal", (-F.col("f.o.best.back")).alias("first_token"))
-    return found.where(F.col("n_equal") >= F.ceil(F.col("window") * settings.share))
+    least = F.when(F.col("window") < settings.exact_below, F.col("window")).otherwise(F.ceil(F.col("window") * settings.share))
+    return found.where(F.col("n_equal") >= least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, item_id, first_token, n_window, n_equal, similarity): the best overlap of each document and item that share one.
 
     An overlap is a window of 13 tokens along one diagonal (the whole item, if shorter) of which 75 % or more are
-    equal. Tokens are lower-cased runs of letters and digits. Items and documents shorter than a mask's span (8
-    tokens) carry too little evidence and are never reported; null texts count as empty. Null keys are kept, null item
+    equal. Items under 8 tokens must be found whole and unchanged. The masks miss none of these. Tokens are lower-cased
+    runs of letters and digits; items without one are never reported. Null texts count as empty. Null keys are kept, null item
     ids as well; a key's repeated rows are reported once, by the best of them. An empty table gives an empty result.
     Seeds of the benchmark are broadcast when there are at most broadcast_seeds of them, else both sides are shuffled.
     """

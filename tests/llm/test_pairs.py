@@ -1,6 +1,7 @@
 """Near-duplicates, seeds, fixity, licences and URLs against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -160,6 +161,40 @@ def test_seeds_bear_substitutions(spark, awkward, empty):
         spaced_seeds.contaminated(docs, bench, settings=spaced_seeds.Settings(masks=("101", "1101")))
 
 
+def every_overlap(docs, items):
+    """(doc, item) by all diagonals of all pairs: 75 % of 13 tokens, or of the item; all of an item under 8."""
+    out = set()
+    for doc, h in docs:
+        for item, g in items:
+            w = min(13, len(g))
+            need = w if w < 8 else math.ceil(0.75 * w)
+            for d in range(1 - len(g), len(h)):
+                low, high = max(0, d), min(len(h), d + len(g))
+                equal = [h[p] == g[p - d] for p in range(low, high)]
+                if g and max(sum(equal[k : k + w]) for k in range(max(0, len(equal) - w) + 1)) >= need:
+                    out.add((doc, item))
+                    break
+    return out
+
+
+def test_no_overlap_is_missed(spark):
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in (1, 2, 4, 7, 8, 9, 10, 11, 12, 13, 14, 16)] + [(0, [])]
+    docs = []
+    for n, g in items:
+        for few in range(5):
+            for places in itertools.islice(itertools.combinations(range(n), few), 0, None, 1 if n <= 13 or few != 3 else 3):
+                if few in (n - math.ceil(0.75 * min(n, 13)) if n <= 13 else 3, 0) or (few == 4 and sum(places) % 9 == 0) or (n < 8 and few == 1):
+                    docs.append((len(docs), ["a", "b", *("z" if k in places else t for k, t in enumerate(g)), "c"]))
+    docs += [(len(docs) + k, g[k : k + 11]) for n, g in items if n >= 13 for k in range(n - 9)]
+    docs = [(k, h) for k, (_, h) in enumerate(docs)]
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(h)) for k, h in rows], f"{key} long, text string")
+    wanted = every_overlap(docs, items)
+    assert len(wanted) > 900 and len({i for _, i in wanted}) == 12
+    for s in (spaced_seeds.Settings(), spaced_seeds.Settings(broadcast_seeds=0, broadcast_rows=0)):
+        got = spaced_seeds.contaminated(frame(docs, "doc_id"), frame(items, "item_id"), settings=s).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == wanted
+
+
 def plain_record(key, url, body):
     body = (body or "").encode()
     return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{key}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
