@@ -70,7 +70,7 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """All words from the least count on at which there are no more than most; by falling count.
+    """All words from the least count on at which there are no more than most, and END in any case; by falling count.
 
     Counts are taken together in steps of about a hundredth, which leaves those below 64 apart and some thousand steps
     at any size of the corpus.
@@ -82,7 +82,7 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         if (total := total + n) > most:
             break
         least = c
-    rows = counts.where(F.col("c") >= (least if least < math.inf else 1 << 62)).collect()
+    rows = counts.where((F.col("c") >= (least if least < math.inf else 1 << 62)) | (F.col("word") == F.lit(END))).collect()
     return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
@@ -238,8 +238,8 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     kind = source.schema["key"].dataType.simpleString()
     stream = text_batches(source).mapInArrow(score, f"uid long, key {kind}, held_out boolean, n_tokens long, base double, lm double, n_known long, word binary, tf long")
     stream = written(stream, "stream")
-    least = min((c for _, c in tables.words), default=1 << 62)
-    rest = counts.where(F.col("c") < least)
+    least = min((c for w, c in tables.words if w != END), default=1 << 62)
+    rest = counts.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
     rare = stream.where("word is not null").select("uid", "word", "tf").join(rest, "word")
     rare = rare.groupBy("uid").agg(F.sum("tf").alias("found"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("logs"))
     rows = stream.where("word is null").join(rare, "uid", "left")

@@ -63,6 +63,12 @@ def test_frequent_words_are_whole_steps(spark):
     assert [c for _, c in lm.frequent(counts, 4)] == [10**9 + 1, 10**9, 41, 40]
 
 
+def test_ends_count_whatever_the_table_holds(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(300))), (2, "w1 w2 unseen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(lm.scores(docs, F.col("doc_id") == 2, settings=lm.Settings(table_words=40)), rows, [False, True])
+
+
 def small(seed=1):
     return Gru(np.array([9.0, 8, 7, 6, 5, 4, 3]), hidden=5, seed=seed)
 
