@@ -213,7 +213,7 @@ def likely(pairs: DataFrame, settings: Settings) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, size) for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= settings.agreement * size, pa.bool_()))
 
-    return text_batches(pairs.select("a", "b", "sig", "sig_b"), 4096).mapInArrow(lean(agree), "a binary, b binary")
+    return text_batches(pairs.select("a", "b", "sig", "sig_b")).mapInArrow(lean(agree, 4096), "a binary, b binary")
 
 
 def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:

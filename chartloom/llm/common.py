@@ -12,23 +12,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch. Long documents are about 100 kB, so a batch stays at a few MB.
-TEXT_ROWS = 256
-
-
-def text_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
-    """Bounds the Arrow batches that Python workers get; whole texts make rows wide."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of one Arrow batch that a worker gets (a longer row comes alone), and rows of it that are worked on at a time.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 256
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Bounds the Arrow batches that Python workers get by bytes, as rows of whole texts are of any width. The bound is
+    the same for all operators and one that the session names stays, so the order of calls is of no consequence."""
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES, None) is None:
+        conf.set(_BYTES, str(BATCH_BYTES))
     return df
 
 
-def lean(run):
-    """A function for mapInArrow after whose task the worker gives its free memory back; reused workers keep it else."""
+def lean(run, rows: int = BATCH_ROWS):
+    """A function for mapInArrow that gets at most so many rows at a time, and after whose task the worker gives its free
+    memory back; reused workers keep it else."""
+
+    def sliced(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
 
     @functools.wraps(run)
     def whole(batches):
         try:
-            yield from run(batches)
+            yield from run(sliced(batches))
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
@@ -40,13 +51,16 @@ def lean(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set and all runs in one
+    process, as in tests. On a cluster without one this is an error, as executors share no local folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if context.isDefined():
         return context.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="chartloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own

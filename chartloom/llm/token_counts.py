@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, texts, written
+from .common import lean, text_batches, texts, written
 
 SPLIT = re.compile(r" *[^ \n]+|\n| +").findall
 TABLE_SIZE = 1 << 16
@@ -96,7 +96,7 @@ def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", size: in
     schema = "part long, pieces array<string>, ns array<long>"
     rows = text_batches(docs.select(F.col(f"`{text}`")))
     parts = rows.rdd.getNumPartitions()
-    found = written(rows.mapInArrow(count, schema), "pieces")
+    found = written(rows.mapInArrow(lean(count), schema), "pieces")
     while parts > 16:
         found = written(found.groupBy(F.floor(F.col("part") / 16)).applyInPandas(merge, schema), "pieces")
         parts = -(-parts // 16)
@@ -125,4 +125,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return text_batches(source).mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(source).mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import text_batches
+from .common import lean, text_batches
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -104,4 +104,4 @@ def judged(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(verdict, pa.string()), pa.array(p, pa.float64())], names=[key, "host", "path", "rule", "verdict", "score"])
 
     kind = ruled.schema[key].dataType.simpleString()
-    return text_batches(ruled, 8192).mapInArrow(score, f"`{key}` {kind}, host string, path string, rule string, verdict string, score double")
+    return text_batches(ruled).mapInArrow(lean(score, 8192), f"`{key}` {kind}, host string, path string, rule string, verdict string, score double")
