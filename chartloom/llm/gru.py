@@ -1,8 +1,8 @@
 """A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, state across windows.
 
-Words are numbered by falling frequency and class c holds the words from c * size on, so a word's probability is that
-of its class times that within the class; both cost about the root of the vocabulary. Biases start at the unigram
-frequencies, so an untrained model is the unigram model.
+A word's probability is that of its class times that within the class. Classes are runs of the words by falling
+frequency and hold equal shares of the sum of the frequencies' roots, which gives frequent words small classes and the
+least work for a token. Biases start at the unigram frequencies, so an untrained model is the unigram model.
 """
 
 from __future__ import annotations
@@ -11,39 +11,51 @@ import heapq
 
 import numpy as np
 
-NAMES = ("embed", "wx", "bx", "uzr", "un", "wc", "bc", "wo", "bo")
-
+NAMES = ("embed", "wx", "bx", "u", "wc", "wo")
 
 #: Logits stay within this, so that their exponentials and sums fit single precision.
 LARGEST = 70.0
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _runs(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values (below top), where each begins in the sorted order, and that order."""
+    order = np.argsort(x.astype(np.uint16) if top <= 1 << 16 else x, kind="stable")
+    by = x[order]
+    starts = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    return by[starts], starts, order
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, where each begins in the sorted order, and that order."""
-    order = np.argsort(x, kind="stable")
-    ids, starts = np.unique(x[order], return_index=True)
-    return ids, starts, order
+def _softmax(h1: np.ndarray, w: np.ndarray, at: np.ndarray, clipped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits h1 @ w: log probability of column at of each row, the exponentials, and their sums."""
+    s = h1 @ w
+    if clipped:
+        np.clip(s, -LARGEST, LARGEST, out=s)
+    own = s[np.arange(len(at)), at]
+    np.exp(s, out=s)
+    total = s @ np.ones(s.shape[1], s.dtype)
+    return own - np.log(total), s, total
 
 
 class Gru:
     def __init__(self, counts: np.ndarray, hidden: int = 24, seed: int = 5):
         """counts: of each word number; none may be below 1."""
-        self.size = max(2, int(np.ceil(np.sqrt(len(counts)))))
-        self.classes, self.hidden, self.words = -(-len(counts) // self.size), hidden, len(counts)
-        rng, h, v = np.random.default_rng(seed), hidden, self.classes * self.size
+        v, h = len(counts), hidden
+        order = np.argsort(-counts, kind="stable")
+        share = counts[order] / counts.sum()
+        root = np.cumsum(np.sqrt(share))
+        wanted = max(2, round(0.6 * v**0.5))
+        step = np.minimum(wanted - 1, ((root - np.sqrt(share) / 2) / root[-1] * wanted).astype(int))
+        self.cls = np.concatenate([[0], np.cumsum(step[1:] != step[:-1])]).astype(np.int32)  # of each slot, by falling count
+        self.edges = np.concatenate([np.flatnonzero(np.diff(self.cls, prepend=-1)), [v]])
+        self.slot = np.empty(v, np.int32)
+        self.slot[order] = np.arange(v, dtype=np.int32)
+        self.classes, self.hidden, self.words = len(self.edges) - 1, h, v
+        rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        padded = np.full(v, 0.0)
-        padded[: len(counts)] = counts
-        by = padded.reshape(self.classes, self.size)
-        self.p = {
-            "embed": draw(v, h), "wx": draw(h, 3 * h) * 3, "bx": np.zeros(3 * h, np.float32), "uzr": draw(h, 2 * h) * 2, "un": draw(h, h) * 2,
-            "wc": np.zeros((h, self.classes), np.float32), "bc": np.log(by.sum(1) / padded.sum()).astype(np.float32),
-            "wo": np.zeros((self.classes, self.size, h), np.float32), "bo": np.log(np.maximum(by, 1e-30) / by.sum(1, keepdims=True)).astype(np.float32),
-        }
+        mass = np.add.reduceat(share, self.edges[:-1])
+        wc, wo = np.zeros((h + 1, self.classes), np.float32), np.zeros((v, h + 1), np.float32)  # the last of h + 1 is the bias
+        wc[h], wo[:, h] = np.log(mass), np.log(share / mass[self.cls])
+        self.p = {"embed": draw(v, h), "wx": draw(h, 3 * h) * 3, "bx": np.zeros(3 * h, np.float32), "u": draw(h, 3 * h) * 2, "wc": wc, "wo": wo}
 
     def pack(self) -> bytes:
         return np.concatenate([self.p[k].ravel() for k in NAMES]).astype(np.float32).tobytes()
@@ -58,47 +70,103 @@ class Gru:
         return self
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """x: the input's three gate sums. New state, and what backpropagation needs."""
+        """x: the input's sums for candidate, update and reset gate. New state, and what backpropagation needs."""
         n = self.hidden
-        zr = sigmoid(x[:, : 2 * n] + h @ self.p["uzr"])
-        z, r, u = zr[:, :n], zr[:, n:], h @ self.p["un"]
-        c = np.tanh(x[:, 2 * n :] + r * u)
-        return c + z * (h - c), z, r, u, c
+        s = h @ self.p["u"]
+        zr = s[:, : 2 * n] + x[:, n:]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, u = zr[:, :n], zr[:, n:], s[:, 2 * n :]
+        c = r * u
+        c += x[:, :n]
+        np.tanh(c, out=c)
+        out = h - c
+        out *= z
+        out += c
+        return out, z, r, u, c
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
         """Natural log probability of each target y after state h; with grad, also the gradients of their negated sum."""
-        wc, bc, wo, bo = (self.p[k] for k in ("wc", "bc", "wo", "bo"))
-        cls, sub = np.divmod(y, self.size)
-        rows = np.arange(len(y))
-        ones = np.ones(max(self.classes, self.size), h.dtype)
-        logits = np.clip(h @ wc + bc, -LARGEST, LARGEST)
-        own = logits[rows, cls]
-        np.exp(logits, out=logits)
-        total = logits @ ones[: self.classes]
-        out = own - np.log(total)
+        n, wc, wo = self.hidden, self.p["wc"], self.p["wo"]
+        slot = self.slot[y]
+        order = np.argsort(slot.astype(np.uint16) if self.words <= 1 << 16 else slot, kind="stable")
+        slot = slot[order]
+        cls = self.cls[slot]
+        h1 = np.ones((len(h), n + 1), h.dtype)
+        h1[:, :n] = h[order]
+        clipped = max(np.abs(wc).sum(0).max(), np.abs(wo).sum(1).max()) > LARGEST  # states are within 1
+        log, s, total = _softmax(h1, wc, cls, clipped)
         if grad:
-            d = logits / total[:, None]
-            d[rows, cls] -= 1
-            g = {"wc": h.T @ d, "bc": d.sum(0), "wo": np.zeros(wo.shape, h.dtype), "bo": np.zeros(bo.shape, h.dtype)}
-            dh = d @ wc.T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            at = order[ends[c] : ends[c + 1]]
-            hc, k = h[at], sub[at]
-            s = np.clip(hc @ wo[c].T + bo[c], -LARGEST, LARGEST)
-            own = s[np.arange(len(at)), k]
-            np.exp(s, out=s)
-            total = s @ ones[: self.size]
-            out[at] += own - np.log(total)
+            s /= total[:, None]
+            s[np.arange(len(cls)), cls] -= 1
+            g = {"wc": h1.T @ s, "wo": np.zeros(wo.shape, h.dtype)}
+            dh = s @ wc[:n].T
+        ends = np.searchsorted(cls, np.arange(self.classes + 1))
+        for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.edges) > 1)):
+            a, b, low, high = ends[c], ends[c + 1], self.edges[c], self.edges[c + 1]
+            k = slot[a:b] - low
+            part, s, total = _softmax(h1[a:b], wo[low:high].T, k, clipped)
+            log[a:b] += part
             if grad:
                 s /= total[:, None]
-                s[np.arange(len(at)), k] -= 1
-                g["wo"][c], g["bo"][c] = s.T @ hc, s.sum(0)
-                dh[at] += s @ wo[c]
-        return (out, g, dh) if grad else out
-
-    def train(self, stream: np.ndarray, end: int, lanes: int = 256, window: int = 32, rate: float = 0.08, clip: float = 5.0, warm: int = 8) -> int:
+                s[np.arange(len(k)), k] -= 1
+                np.matmul(s.T, h1[a:b], out=g["wo"][low:high])
+                dh[a:b] += s @ wo[low:high, :n]
+        out = np.empty_like(log)
+        out[order] = log
+        if not grad:
+            return out
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, g, back
+
+    def gradients(self, x_id: np.ndarray, y_id: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray]:
+        """Gradients of the negated log probability of targets y_id (steps x lanes) after inputs x_id, from states h on, and
+        the last states. A state is forgotten before an input end. Of embed: (words, rows)."""
+        p, n, (steps, lanes) = self.p, self.hidden, x_id.shape
+        kind = p["u"].dtype
+        e = p["embed"][x_id.ravel()]
+        x = (e @ p["wx"] + p["bx"]).reshape(steps, lanes, 3 * n)
+        before, states = np.empty((steps, lanes, n), kind), np.empty((steps, lanes, n), kind)
+        z, r, u, c = np.empty((4, steps, lanes, n), kind)
+        cut = [np.flatnonzero(x_id[t] == end) for t in range(steps)]
+        for t in range(steps):
+            before[t] = h
+            before[t][cut[t]] = 0
+            h, z[t], r[t], u[t], c[t] = self.step(x[t], before[t])
+            states[t] = h
+        _, g, dh_out = self.outputs(states.reshape(-1, n), y_id.ravel(), grad=True)
+        dh_out = dh_out.reshape(steps, lanes, n)
+        # factors of the state's gradient: to the candidate, to the update gate; of the candidate's: to the reset gate
+        by_c = 1 - c * c
+        by_c -= z * by_c
+        by_z = (before - c) * z
+        by_z -= z * by_z
+        u *= r
+        u -= r * u
+        d = np.empty((steps, lanes, 4 * n), kind)  # candidate, update, reset, and candidate by way of u
+        dh, into = np.zeros((lanes, n), kind), np.ascontiguousarray(p["u"].T)
+        for t in range(steps - 1, -1, -1):
+            dh += dh_out[t]
+            at = d[t]
+            dc = np.multiply(dh, by_c[t], out=at[:, :n])
+            np.multiply(dh, by_z[t], out=at[:, n : 2 * n])
+            np.multiply(dc, u[t], out=at[:, 2 * n : 3 * n])
+            np.multiply(dc, r[t], out=at[:, 3 * n :])
+            dh *= z[t]
+            dh += at[:, n:] @ into
+            dh[cut[t]] = 0
+        flat = d.reshape(-1, 4 * n)
+        dx = flat[:, : 3 * n]
+        ids, starts, order = _runs(x_id.ravel(), self.words)
+        return {
+            "wx": e.T @ dx, "bx": np.ones(len(dx), kind) @ dx, "u": before.reshape(-1, n).T @ flat[:, n:], **g,
+            "embed": (ids, np.add.reduceat((dx @ p["wx"].T)[order], starts)),
+        }, h
+
+    def train(self, stream: np.ndarray, end: int, lanes: int = 512, window: int = 32, rate: float = 0.12, clip: float = 5.0, warm: int = 8) -> int:
         """One pass over a stream of documents, each closed by end: lanes side by side, windows of steps, Adagrad whose
         rate rises over the first warm windows, so that a short stream moves the model little. Its sums of squares go
         on in the next call. The last lane is filled with ends; short streams have fewer lanes."""
@@ -108,57 +176,33 @@ class Gru:
         per = -(-len(stream) // lanes)
         body = np.concatenate([stream, np.full(lanes * per - len(stream), end, stream.dtype)]).reshape(lanes, per).T
         inputs = np.concatenate([np.full((1, lanes), end, body.dtype), body[:-1]])
-        h, n = np.zeros((lanes, self.hidden), np.float32), self.hidden
+        h = np.zeros((lanes, self.hidden), np.float32)
         if not hasattr(self, "_squares"):
             self._squares, self._windows = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.p.items()}, 0
         for a in range(0, per, window):
-            x_id, y_id = inputs[a : a + window], body[a : a + window]
-            e = self.p["embed"][x_id.ravel()]
-            x = (e @ self.p["wx"] + self.p["bx"]).reshape(len(x_id), lanes, 3 * n)
-            goes_on = (x_id != end).astype(np.float32)[:, :, None]
-            before, states = np.empty((len(x_id), lanes, n), np.float32), np.empty((len(x_id), lanes, n), np.float32)
-            gates = np.empty((4, len(x_id), lanes, n), np.float32)
-            for t in range(len(x_id)):
-                before[t] = h * goes_on[t]
-                h, *rest = self.step(x[t], before[t])
-                states[t], gates[:, t] = h, rest
-            _, g, dh_out = self.outputs(states.reshape(-1, n), y_id.ravel(), grad=True)
-            dh_out = dh_out.reshape(len(x_id), lanes, n)
-            z, r, u, c = gates
-            by_c, by_z, by_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), u * r * (1 - r)
-            back = z * goes_on
-            dx, du, dh = np.empty_like(x), np.empty_like(u), np.zeros((lanes, n), np.float32)
-            into_zr, into_n = np.ascontiguousarray(self.p["uzr"].T), np.ascontiguousarray(self.p["un"].T)
-            for t in range(len(x_id) - 1, -1, -1):
-                dh += dh_out[t]
-                d = dx[t]
-                dc = np.multiply(dh, by_c[t], out=d[:, 2 * n :])
-                np.multiply(dh, by_z[t], out=d[:, :n])
-                np.multiply(dc, by_r[t], out=d[:, n : 2 * n])
-                np.multiply(dc, r[t], out=du[t])
-                dh = dh * back[t] + (d[:, : 2 * n] @ into_zr + du[t] @ into_n) * goes_on[t]
-            flat_dx, flat_before = dx.reshape(-1, 3 * n), before.reshape(-1, n)
-            ids, starts, order = _runs(x_id.ravel())
-            grads = {
-                "wx": e.T @ flat_dx, "bx": flat_dx.sum(0), "uzr": flat_before.T @ flat_dx[:, : 2 * n], "un": flat_before.T @ du.reshape(-1, n), **g,
-            }
-            scale, pace = 1 / lanes, rate * min(1.0, (self._windows + 1) / warm)
-            updates = [(k, slice(None), v) for k, v in grads.items()]
-            updates.append(("embed", ids, np.add.reduceat((flat_dx @ self.p["wx"].T)[order], starts)))
-            for k, at, v in updates:
-                v = np.clip(v * np.float32(scale), -clip, clip)
-                self._squares[k][at] += v * v
-                self.p[k][at] -= pace * v / np.sqrt(self._squares[k][at])
+            grads, h = self.gradients(inputs[a : a + window], body[a : a + window], h, end)
+            scale, pace = np.float32(1 / lanes), np.float32(rate * min(1.0, (self._windows + 1) / warm))
+            for k, v in grads.items():
+                at, v = v if k == "embed" else (slice(None), v)
+                v *= scale
+                np.clip(v, -clip, clip, out=v)
+                squares = self._squares[k][at]
+                squares += v * v
+                if k == "embed":
+                    self._squares[k][at] = squares
+                v *= pace
+                v /= np.sqrt(squares)
+                self.p[k][at] -= v
             self._windows += 1
         self.__dict__.pop("_table", None)
         return len(stream)
 
-    def score(self, docs: list[np.ndarray], end: int, lanes: int = 256, window: int = 128) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], end: int, lanes: int = 512, window: int = 64) -> np.ndarray:
         """Natural log probability of each document (word numbers, the last is end). State runs through a document
-        across windows and is reset at its start; documents are laid out over lanes by length."""
-        out = np.zeros(len(docs))
+        across windows and is reset at its start; documents are laid end to end over lanes by length. Lanes fall away
+        as they end, so memory is in proportion to the tokens, however unlike the lengths are."""
         if not docs:
-            return out
+            return np.zeros(0)
         if not hasattr(self, "_table"):
             self._table = self.p["embed"] @ self.p["wx"] + self.p["bx"]
         lanes = max(1, min(lanes, len(docs)))
@@ -167,22 +211,27 @@ class Gru:
             load, k = heapq.heappop(heap)
             held[k].append(i)
             heapq.heappush(heap, (load + len(docs[i]), k))
-        steps = max(load for load, _ in heap)
-        y, owner = np.full((steps, lanes), -1, np.int32), np.zeros((steps, lanes), np.int32)
-        for k, ids in enumerate(held):
-            at = 0
-            for i in ids:
-                y[at : at + len(docs[i]), k] = docs[i]
-                owner[at : at + len(docs[i]), k] = i
-                at += len(docs[i])
-        x = np.concatenate([np.full((1, lanes), end, np.int32), y[:-1]])
+        held = [held[k] for _, k in sorted(heap, reverse=True)]  # the longest lanes first
+        loads = np.array([sum(len(docs[i]) for i in ids) for ids in held])
+        begins = np.concatenate([[0], np.cumsum(loads)])
+        flat = np.concatenate([docs[i] for ids in held for i in ids])
+        log = np.empty(len(flat), np.float32)
         h = np.zeros((lanes, self.hidden), np.float32)
-        for a in range(0, steps, window):
-            xs, ys = x[a : a + window], y[a : a + window]
-            states = np.empty((len(xs), lanes, self.hidden), np.float32)
-            for t in range(len(xs)):
-                h[xs[t] == end] = 0
-                h = states[t] = self.step(self._table[xs[t]], h)[0]
-            there = ys >= 0
-            out += np.bincount(owner[a : a + window][there], self.outputs(states[there], ys[there]).astype(np.float64), len(docs))
+        last = np.full(lanes, end, flat.dtype)
+        for a in range(0, int(loads[0]), window):
+            live = int(np.searchsorted(-loads, -a, side="left"))
+            at = begins[:live] + a + np.arange(min(window, int(loads[0]) - a))[:, None]
+            there = at < begins[1 : live + 1]
+            y = np.where(there, flat[np.minimum(at, len(flat) - 1)], end)
+            x = np.concatenate([last[None, :live], y[:-1]])
+            h, last = h[:live], y[-1]
+            states = np.empty((len(y), live, self.hidden), np.float32)
+            for t in range(len(y)):
+                h[x[t] == end] = 0
+                h = states[t] = self.step(self._table[x[t]], h)[0]
+            log[at[there]] = self.outputs(states[there], y[there])
+        order = [i for ids in held for i in ids]
+        starts = np.cumsum([0, *(len(docs[i]) for i in order[:-1])])
+        out = np.empty(len(docs))
+        out[order] = np.add.reduceat(log.astype(np.float64), starts)
         return out

@@ -3,30 +3,31 @@
 Counts are taken over all training documents, and the recurrent model learns from each of them once. A round takes the
 share of the documents that a hash of the text deals it: every input partition trains on its own from one common start,
 and the weights are averaged by tokens in a tree; that mean is the start of the next round. So the work grows with the
-corpus and a few models reach the driver. Frequent words (a bounded table) are looked up in the workers; the rest are joined with the
-counts.
+corpus and a few models reach the driver. Words frequent in all texts (a bounded table) are looked up in the workers;
+the rest are joined with the counts. As the table ranks words by all texts, held-out ones included, a joined word has
+at most the share of one in table_words of all rows, and no key of the join is hot.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, text_batches, written
+from .common import lean, text_batches, written
 from .gru import Gru
 
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
-COUNT_WORDS = 400_000
+#: Words that a worker counts at a time.
+COUNT_WORDS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -38,82 +39,122 @@ class Settings:
     rounds: int = 4
     #: Words whose counts the workers hold, at most.
     table_words: int = 1 << 18
-    lanes: int = 256
-    #: Tokens that a worker gathers before it scores them together.
-    chunk_tokens: int = 1_500_000
+    #: Bytes of texts that a worker gathers before it scores them together; one text is never cut.
+    chunk_bytes: int = 8 << 20
     train_tokens: int = 2_000_000
     seed: int = 5
 
 
-def words_of(data: bytes) -> list[bytes]:
-    return data.lower().split()
+def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text of an Arrow column has, and all of them one after another, A-Z lower-cased."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat = parts.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)
+    row = np.repeat(np.arange(len(column)), pc.list_value_length(parts).to_numpy())
+    return np.bincount(row[there.to_numpy(zero_copy_only=False)], minlength=len(column)), flat.filter(there)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, c) over the column text of all rows; each row also counts one end. Partial sums leave the workers."""
+def found_at(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each word stands among the known ones; -1 for others."""
+    return pc.fill_null(pc.index_in(words.cast(pa.binary()), value_set=known), -1).to_numpy()
+
+
+def gathered(batches, size: int):
+    """Batches put together up to about so many bytes, so that words need to be told apart less often."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def word_counts(source: DataFrame) -> DataFrame:
+    """(word, c, seen) over (text, held_out): how often the word stands in training texts, and in all. Each row also
+    counts one end. Partial sums leave the workers."""
 
     def count(batches):
+        held: dict[bool, list] = {False: [], True: []}
+        size, ends = 0, {False: 0, True: 0}
+
         def flush():
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
+            for out, parts in held.items():
+                if parts:
+                    found = pc.value_counts(pa.chunked_array(parts))
+                    words, n = found.field(0).cast(pa.binary()), found.field(1)
+                    for k in range(0, len(n), 65536):
+                        yield pa.RecordBatch.from_arrays([words[k : k + 65536], n[k : k + 65536], pa.array([out] * len(n[k : k + 65536]))], names=["word", "n", "held_out"])
+                parts.clear()
 
-        seen: Counter[bytes] = Counter()
         for batch in batches:
-            for data in raw(batch.column(0)):
-                seen.update(words_of(data))
-            seen[END] += batch.num_rows
-            if len(seen) > COUNT_WORDS:
+            texts, out = pc.fill_null(batch.column(0), ""), batch.column(1)
+            for side in (False, True):
+                some = texts.filter(out if side else pc.invert(out))
+                ends[side] += len(some)
+                if len(flat := words_of(some)[1]):
+                    held[side].append(flat)
+                    size += len(flat)
+            if size > COUNT_WORDS:
                 yield from flush()
+                size = 0
         yield from flush()
+        yield pa.RecordBatch.from_arrays([pa.array([END, END], pa.binary()), pa.array([ends[False], ends[True]], pa.int64()), pa.array([False, True])], names=["word", "n", "held_out"])
 
-    return written(text_batches(training.select("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    found = text_batches(source.select("text", "held_out")).mapInArrow(lean(count), "word binary, n long, held_out boolean")
+    found = found.groupBy("word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("n"))).alias("c"), F.sum("n").alias("seen"))
+    return written(found.where("seen > 0"), "counts")
 
 
-def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """All words from the least count on at which there are no more than most, and END in any case; by falling count.
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
+    """(word, c, seen) of all words from the least number seen on at which there are no more than most, and END in any
+    case; by falling c.
 
-    Counts are taken together in steps of about a hundredth, which leaves those below 64 apart and some thousand steps
+    Numbers are taken together in steps of about a hundredth, which leaves those below 64 apart and some thousand steps
     at any size of the corpus.
     """
-    step = F.floor(F.log2(F.col("c")) * 64)
-    sizes = sorted(((r.c, r.n) for r in counts.groupBy(step).agg(F.min("c").alias("c"), F.count("*").alias("n")).collect()), reverse=True)
+    step = F.floor(F.log2(F.col("seen")) * 64)
+    sizes = sorted(((r.s, r.n) for r in counts.groupBy(step).agg(F.min("seen").alias("s"), F.count("*").alias("n")).collect()), reverse=True)
     total, least = 0, math.inf
-    for c, n in sizes:
+    for s, n in sizes:
         if (total := total + n) > most:
             break
-        least = c
-    rows = counts.where((F.col("c") >= (least if least < math.inf else 1 << 62)) | (F.col("word") == F.lit(END))).collect()
-    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+        least = s
+    rows = counts.where((F.col("seen") >= (least if least < math.inf else 1 << 62)) | (F.col("word") == F.lit(END))).collect()
+    return sorted(((bytes(r.word), r.c, r.seen) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 @dataclass
 class Tables:
-    """What workers need; built once in each from the broadcast words."""
+    """What workers need; built once in each task from the broadcast words."""
 
-    words: list[tuple[bytes, int]]
+    words: list[tuple[bytes, int, int]]
     total: int
     distinct: int
     settings: Settings
 
     def __post_init__(self):
-        kept = [(w, c) for w, c in self.words if w != END][: self.settings.vocabulary - 2]
-        self.end, self.unknown, self.n_vocabulary = 0, 1, len(kept) + 2
-        ends = next((c for w, c in self.words if w == END), 0)
-        rest = self.total - ends - sum(c for _, c in kept)
-        self.rare_total, self.rare_distinct = rest, max(0, self.distinct - len(kept) - 1)
-        self.start = np.array([max(1, ends), max(1, rest), *(c for _, c in kept)], float)
+        own = [(w, c) for w, c, _ in self.words if w != END]
+        self.kept = [(w, c) for w, c in own[: self.settings.vocabulary - 2] if c > 0]
+        self.end, self.unknown, self.n_vocabulary = 0, 1, len(self.kept) + 2
+        self.ends = next((c for w, c, _ in self.words if w == END), 0)
+        rest = self.total - self.ends - sum(c for _, c in self.kept)
+        rare_distinct = max(0, self.distinct - len(self.kept) - 1)
+        self.start = np.array([max(1, self.ends), max(1, rest), *(c for _, c in self.kept)], float)
         self.base_log = math.log10(self.total + self.distinct + 1)
-        self.rare_log = math.log10(rest + self.rare_distinct + 1)
-        self.ends = ends
+        self.rare_log = math.log10(rest + rare_distinct + 1)
+        self.least = min((s for w, _, s in self.words if w != END), default=1 << 62)
 
     def ready(self) -> "Tables":
-        """rank of each word of the table, and by rank its number in the model and log10 of its count and one."""
-        own = [(w, c) for w, c in self.words if w != END]
-        self.rank = {w: k for k, (w, _) in enumerate(own)}
-        self.log_count = np.array([*(math.log10(c + 1) for _, c in own), 0.0])
+        """The words of the table; by place in it the number in the model, whether c > 0, and log10 of c and one."""
+        own = [(w, c) for w, c, _ in self.words if w != END]
+        self.own = pa.array([w for w, _ in own], pa.binary())
+        count = np.array([*(c for _, c in own), 0])
+        self.log_count, self.known = np.log10(count + 1.0), count > 0
         self.number = np.full(len(own) + 1, self.unknown, np.int32)
-        n = self.n_vocabulary - 2
-        self.number[:n] = np.arange(2, n + 2)
+        self.number[: len(self.kept)] = np.arange(2, self.n_vocabulary)
         return self
 
 
@@ -121,29 +162,36 @@ def trained(training: DataFrame, tables: Tables) -> Gru:
     """The model after all rounds. Weights are averaged by tokens, sixteen rows at a time."""
     s = tables.settings
     model = Gru(tables.start, s.hidden, s.seed)
-    words = [w for w, _ in tables.words if w != END][: tables.n_vocabulary - 2]
+    known = (tables.start, [w for w, _ in tables.kept], tables.end, tables.unknown)
     for k in range(s.rounds):
-        mean = averaged(training, (tables.start, words, tables.end, tables.unknown), model.pack(), k, s)
+        mean = averaged(training, known, model.pack(), k, s)
         if mean is not None:
             model.unpack(mean)
     return model
 
 
+def with_ends(n: np.ndarray, numbers: np.ndarray, end: int) -> np.ndarray:
+    """The numbers of rows of n words each, with end after each row."""
+    out = np.full(len(numbers) + len(n), end, np.int32)
+    there = np.ones(len(out), bool)
+    there[np.cumsum(n + 1) - 1] = False
+    out[there] = numbers
+    return out
+
+
 def averaged(training: DataFrame, vocabulary: tuple, start: bytes, k: int, s: Settings) -> np.ndarray | None:
     """The mean of the weights that the partitions reach from start over the texts of round k; None without any."""
     known = training.sparkSession.sparkContext.broadcast((vocabulary, start))
 
     def fit(batches):
         (counts, words, end, unknown), flat = known.value
-        number = {w: i + 2 for i, w in enumerate(words)}
+        own = pa.array(words, pa.binary())
         model, done, held, size = Gru(counts, s.hidden, s.seed).unpack(np.frombuffer(flat, np.float32)), 0, [], 0
         for batch in batches:
-            for data in raw(batch.column(0)):
-                if xxhash.xxh3_64_intdigest(data) % s.rounds == k:
-                    ids = [number.get(w, unknown) for w in words_of(data)]
-                    ids.append(end)
-                    held.append(np.array(ids, np.int32))
-                    size += len(ids)
+            n, found = words_of(batch.column(0))
+            at = found_at(found, own)
+            held.append(with_ends(n, np.where(at < 0, unknown, at + 2), end))
+            size += len(held[-1])
             if size > s.train_tokens:
                 done += model.train(np.concatenate(held), end)
                 held, size = [], 0
@@ -151,9 +199,9 @@ def averaged(training: DataFrame, vocabulary: tuple, start: bytes, k: int, s: Se
             done += model.train(np.concatenate(held), end)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([done], pa.int64()), pa.array([model.pack() if done else None], pa.binary())], names=["part", "n", "weights"])
 
-    rows = text_batches(training.select("text"))
+    rows = text_batches(training.where(F.pmod(F.xxhash64("text"), F.lit(s.rounds)) == k).select("text"))
     parts = rows.rdd.getNumPartitions()
-    found = rows.mapInArrow(fit, "part long, n long, weights binary").where("n > 0")
+    found = rows.mapInArrow(lean(fit), "part long, n long, weights binary").where("n > 0")
 
     def mean(group: pd.DataFrame) -> pd.DataFrame:
         n = int(group["n"].sum())
@@ -174,72 +222,54 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
 
     A text's tokens are its words, A-Z lower-cased, and one end; a null text is empty and has the end alone. Logarithms
     are decimal. base_score is the sum of log10((c + 1) / (N + V + 1)). score is the recurrent model's: words outside
-    its vocabulary get the probability of the unknown word times (c + 1) / (their tokens + their words + 1). Repeated
-    rows, null keys and further columns are of no consequence. Without training rows N and V are 0 and all words are
-    unknown.
+    its vocabulary get the probability of the unknown word times (c + 1) / (their tokens + their words + 1). As weights
+    are averaged over partitions, it depends a little on how the input is split; base_score and the counts do not.
+    Repeated rows, null keys and further columns are of no consequence. A null held_out counts as false. Without
+    training rows N and V are 0 and all words are unknown. Very long texts take memory in proportion to their own
+    length (a few dozen bytes a word).
     """
-    source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), held_out.alias("held_out"))
-    training = source.where("not held_out").select("text")
-    counts = word_counts(training)
-    counts = counts.where("c > 0")
-    n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    tables = Tables(frequent(counts, settings.table_words), n or 0, v, settings)
-    model = trained(training, tables)
+    source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    counts = word_counts(source)
+    n, v = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
+    tables = Tables(frequent(counts, settings.table_words), n or 0, v or 0, settings)
+    model = trained(source.where("not held_out").select("text"), tables)
     weights = docs.sparkSession.sparkContext.broadcast((tables, model.pack()))
+    key_type = source.schema["key"].dataType
 
     def score(batches):
         tables, flat = weights.value
         t = tables.ready()
         net = Gru(t.start, settings.hidden, settings.seed).unpack(np.frombuffer(flat, np.float32))
         uid = TaskContext.get().partitionId() << 40
-        nothing = pa.nulls
-        rows: list[tuple] = []
-        ids: list[np.ndarray] = []
-        rare: list[tuple[int, bytes, int]] = []
-
-        def flush():
-            nonlocal rows, ids, rare
-            if rows:
-                logs = net.score(ids, t.end, settings.lanes) / math.log(10)
-                for k in range(0, len(rows), 4096):
-                    part = rows[k : k + 4096]
-                    a = [pa.array(x) for x in ([r[0] for r in part], [r[1] for r in part], [r[2] for r in part], [r[3] for r in part], [r[4] for r in part])]
-                    lm = pa.array([r[5] + x for r, x in zip(part, logs[k : k + 4096])], pa.float64())
-                    yield pa.RecordBatch.from_arrays([a[0], a[1].cast(key_type), a[2].cast(pa.bool_()), a[3].cast(pa.int64()), a[4].cast(pa.float64()), lm, pa.array([r[6] for r in part], pa.int64()), nothing(len(part), pa.binary()), nothing(len(part), pa.int64())], names=names)
-                for k in range(0, len(rare), 65536):
-                    part = rare[k : k + 65536]
-                    m = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), nothing(m, key_type), nothing(m, pa.bool_()), nothing(m, pa.int64()), nothing(m, pa.float64()), nothing(m, pa.float64()), nothing(m, pa.int64()), pa.array([x[1] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.int64())], names=names)
-            rows, ids, rare = [], [], []
-
-        size, key_type = 0, None
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            for doc, data, held in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist()):
-                words = words_of(data)
-                at = np.fromiter((t.rank.get(w, -1) for w in words), np.int64, len(words))
-                missing = Counter(words[k] for k in np.flatnonzero(at < 0))
-                n_missing = sum(missing.values())
-                number = t.number[at]
-                outside = number == t.unknown
-                base = float(t.log_count[at].sum()) + math.log10(t.ends + 1) - (len(words) + 1) * t.base_log
-                lm = float(t.log_count[at[outside]].sum()) - int(outside.sum()) * t.rare_log
-                rows.append((uid, doc, held, len(words) + 1, base, lm, len(words) - n_missing + (t.ends > 0)))
-                ids.append(np.append(number, t.end).astype(np.int32))
-                rare += [(uid, w, k) for w, k in missing.items()]
-                uid += 1
-                size += len(words) + 1
-                if size > settings.chunk_tokens:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+        for group in gathered(batches, settings.chunk_bytes):
+            keys, held, texts = (group.column(k).combine_chunks() for k in (0, 2, 1))
+            n, flat = words_of(texts)
+            m, flat = len(n), flat.dictionary_encode()
+            words, at = flat.dictionary, flat.indices.to_numpy()
+            of = found_at(words, t.own)[at]
+            row = np.repeat(np.arange(m), n)
+            log, number = t.log_count[of], t.number[of]
+            outside, missing = number == t.unknown, of < 0
+            base = np.bincount(row, log, m) + math.log10(t.ends + 1) - (n + 1) * t.base_log
+            lm = np.bincount(row[outside], log[outside], m) - np.bincount(row[outside], minlength=m) * t.rare_log
+            known = np.bincount(row[t.known[of]], minlength=m) + (t.ends > 0)
+            docs = np.split(with_ends(n, number, t.end), np.cumsum(n + 1)[:-1])
+            lm += net.score(docs, t.end) / math.log(10)
+            for k in range(0, m, 4096):
+                a, b = k, min(m, k + 4096)
+                arrays = [pa.array(uid + np.arange(a, b)), keys[a:b], held[a:b], pa.array(n[a:b] + 1), pa.array(base[a:b]), pa.array(lm[a:b]), pa.array(known[a:b])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(b - a, pa.binary()), pa.nulls(b - a, pa.int64())], names=names)
+            pair, tf = np.unique(row[missing] * len(words) + at[missing], return_counts=True)
+            for k in range(0, len(tf), 65536):
+                some, times = pair[k : k + 65536], tf[k : k + 65536]
+                nothing = [pa.nulls(len(some), a.type) for a in arrays[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(uid + some // len(words)), *nothing, words.take(pa.array(some % len(words))).cast(pa.binary()), pa.array(times)], names=names)
+            uid += m
 
     names = ["uid", "key", "held_out", "n_tokens", "base", "lm", "n_known", "word", "tf"]
-    kind = source.schema["key"].dataType.simpleString()
-    stream = text_batches(source).mapInArrow(score, f"uid long, key {kind}, held_out boolean, n_tokens long, base double, lm double, n_known long, word binary, tf long")
+    stream = text_batches(source).mapInArrow(lean(score), f"uid long, key {key_type.simpleString()}, held_out boolean, n_tokens long, base double, lm double, n_known long, word binary, tf long")
     stream = written(stream, "stream")
-    least = min((c for w, c in tables.words if w != END), default=1 << 62)
-    rest = counts.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
+    rest = counts.where((F.col("seen") < tables.least) & (F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
     rare = stream.where("word is not null").select("uid", "word", "tf").join(rest, "word")
     rare = rare.groupBy("uid").agg(F.sum("tf").alias("found"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("logs"))
     rows = stream.where("word is null").join(rare, "uid", "left")
