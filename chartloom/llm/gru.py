@@ -166,7 +166,7 @@ class Gru:
             "embed": (ids, np.add.reduceat((dx @ p["wx"].T)[order], starts)),
         }, h
 
-    def train(self, stream: np.ndarray, end: int, lanes: int = 512, window: int = 32, rate: float = 0.12, clip: float = 5.0, warm: int = 8) -> int:
+    def train(self, stream: np.ndarray, end: int, lanes: int = 512, window: int = 16, rate: float = 0.1, clip: float = 5.0, warm: int = 8) -> int:
         """One pass over a stream of documents, each closed by end: lanes side by side, windows of steps, Adagrad whose
         rate rises over the first warm windows, so that a short stream moves the model little. Its sums of squares go
         on in the next call. The last lane is filled with ends; short streams have fewer lanes."""

@@ -38,7 +38,7 @@ class Settings:
     #: Rounds of training between which weights are averaged; each training text goes through backpropagation in one.
     rounds: int = 4
     #: Words whose counts the workers hold, at most.
-    table_words: int = 1 << 18
+    table_words: int = 1 << 19
     #: Bytes of texts that a worker gathers before it scores them together; one text is never cut.
     chunk_bytes: int = 8 << 20
     train_tokens: int = 2_000_000
@@ -108,61 +108,55 @@ def word_counts(source: DataFrame) -> DataFrame:
     return written(found.where("seen > 0"), "counts")
 
 
-def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
-    """(word, c, seen) of all words from the least number seen on at which there are no more than most, and END in any
-    case; by falling c.
+def frequent(counts: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """(word, c) of all words from the least number seen on at which there are no more than most, by falling c, and that
+    number. END is left out.
 
     Numbers are taken together in steps of about a hundredth, which leaves those below 64 apart and some thousand steps
     at any size of the corpus.
     """
+    own = counts.where(F.col("word") != F.lit(END))
     step = F.floor(F.log2(F.col("seen")) * 64)
-    sizes = sorted(((r.s, r.n) for r in counts.groupBy(step).agg(F.min("seen").alias("s"), F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, math.inf
+    sizes = sorted(((r.s, r.n) for r in own.groupBy(step).agg(F.min("seen").alias("s"), F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, 1 << 62
     for s, n in sizes:
         if (total := total + n) > most:
             break
         least = s
-    rows = counts.where((F.col("seen") >= (least if least < math.inf else 1 << 62)) | (F.col("word") == F.lit(END))).collect()
-    return sorted(((bytes(r.word), r.c, r.seen) for r in rows), key=lambda x: (-x[1], x[0]))
+    return own.where(F.col("seen") >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")]), least
 
 
 @dataclass
 class Tables:
-    """What workers need; built once in each task from the broadcast words."""
+    """What workers need. words: (word, c) of the table by falling c; the first of them have numbers in the model."""
 
-    words: list[tuple[bytes, int, int]]
+    words: pa.Table
+    ends: int
     total: int
     distinct: int
     settings: Settings
 
     def __post_init__(self):
-        own = [(w, c) for w, c, _ in self.words if w != END]
-        self.kept = [(w, c) for w, c in own[: self.settings.vocabulary - 2] if c > 0]
-        self.end, self.unknown, self.n_vocabulary = 0, 1, len(self.kept) + 2
-        self.ends = next((c for w, c, _ in self.words if w == END), 0)
-        rest = self.total - self.ends - sum(c for _, c in self.kept)
-        rare_distinct = max(0, self.distinct - len(self.kept) - 1)
-        self.start = np.array([max(1, self.ends), max(1, rest), *(c for _, c in self.kept)], float)
+        count = self.words.column("c").to_numpy()
+        n = int((count[: self.settings.vocabulary - 2] > 0).sum())
+        self.own = self.words.column("word").cast(pa.binary()).combine_chunks()
+        self.end, self.unknown, self.n_vocabulary = 0, 1, n + 2
+        rest = self.total - self.ends - int(count[:n].sum())
+        self.start = np.array([max(1, self.ends), max(1, rest), *count[:n]], float)
         self.base_log = math.log10(self.total + self.distinct + 1)
-        self.rare_log = math.log10(rest + rare_distinct + 1)
-        self.least = min((s for w, _, s in self.words if w != END), default=1 << 62)
-
-    def ready(self) -> "Tables":
-        """The words of the table; by place in it the number in the model, whether c > 0, and log10 of c and one."""
-        own = [(w, c) for w, c, _ in self.words if w != END]
-        self.own = pa.array([w for w, _ in own], pa.binary())
-        count = np.array([*(c for _, c in own), 0])
+        self.rare_log = math.log10(rest + max(0, self.distinct - n - 1) + 1)
+        # by place in the table, the last for a word outside: log10 of c and one, whether c > 0, the number in the model
+        count = np.append(count, 0)
         self.log_count, self.known = np.log10(count + 1.0), count > 0
-        self.number = np.full(len(own) + 1, self.unknown, np.int32)
-        self.number[: len(self.kept)] = np.arange(2, self.n_vocabulary)
-        return self
+        self.number = np.full(len(count), self.unknown, np.int32)
+        self.number[:n] = np.arange(2, n + 2)
 
 
 def trained(training: DataFrame, tables: Tables) -> Gru:
     """The model after all rounds. Weights are averaged by tokens, sixteen rows at a time."""
     s = tables.settings
     model = Gru(tables.start, s.hidden, s.seed)
-    known = (tables.start, [w for w, _ in tables.kept], tables.end, tables.unknown)
+    known = (tables.start, tables.own[: tables.n_vocabulary - 2], tables.end, tables.unknown)
     for k in range(s.rounds):
         mean = averaged(training, known, model.pack(), k, s)
         if mean is not None:
@@ -184,8 +178,7 @@ def averaged(training: DataFrame, vocabulary: tuple, start: bytes, k: int, s: Se
     known = training.sparkSession.sparkContext.broadcast((vocabulary, start))
 
     def fit(batches):
-        (counts, words, end, unknown), flat = known.value
-        own = pa.array(words, pa.binary())
+        (counts, own, end, unknown), flat = known.value
         model, done, held, size = Gru(counts, s.hidden, s.seed).unpack(np.frombuffer(flat, np.float32)), 0, [], 0
         for batch in batches:
             n, found = words_of(batch.column(0))
@@ -231,14 +224,15 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = word_counts(source)
     n, v = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
-    tables = Tables(frequent(counts, settings.table_words), n or 0, v or 0, settings)
+    ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0]
+    words, least = frequent(counts, settings.table_words)
+    tables = Tables(words, ends or 0, n or 0, v or 0, settings)
     model = trained(source.where("not held_out").select("text"), tables)
     weights = docs.sparkSession.sparkContext.broadcast((tables, model.pack()))
     key_type = source.schema["key"].dataType
 
     def score(batches):
-        tables, flat = weights.value
-        t = tables.ready()
+        t, flat = weights.value
         net = Gru(t.start, settings.hidden, settings.seed).unpack(np.frombuffer(flat, np.float32))
         uid = TaskContext.get().partitionId() << 40
         for group in gathered(batches, settings.chunk_bytes):
@@ -269,7 +263,7 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     names = ["uid", "key", "held_out", "n_tokens", "base", "lm", "n_known", "word", "tf"]
     stream = text_batches(source).mapInArrow(lean(score), f"uid long, key {key_type.simpleString()}, held_out boolean, n_tokens long, base double, lm double, n_known long, word binary, tf long")
     stream = written(stream, "stream")
-    rest = counts.where((F.col("seen") < tables.least) & (F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
+    rest = counts.where((F.col("seen") < least) & (F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
     rare = stream.where("word is not null").select("uid", "word", "tf").join(rest, "word")
     rare = rare.groupBy("uid").agg(F.sum("tf").alias("found"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("logs"))
     rows = stream.where("word is null").join(rare, "uid", "left")
