@@ -1,10 +1,16 @@
 """Byte-level BPE with tree concatenation.
 
-A text is split by the tokenizer's own pattern, which no merge crosses. Ordinary pieces are encoded once and
-remembered. A long unsplit piece is cut in halves down to leaves, the leaves are encoded in parallel, and neighbours
-are joined by encoding a window around the seam again; the window grows until it begins with the left side's token
-and ends with the right side's. Then every pair of neighbouring tokens lies within one encoding, and since a sequence
-of BPE tokens is the encoding of its text exactly when each neighbouring pair is, the joined sequence is exact.
+A text longer than a leaf is cut in halves, without regard to words, down to leaves. Leaves are encoded for
+themselves, all of a batch together, and neighbours are joined up the tree: a window around the seam is encoded again
+and grows until it agrees with either side at a place between two tokens.
+
+The tokenizer splits a text into pieces by a pattern that reads on from where the last piece ended, and no merge
+crosses a piece. So once the window and the right side both have a piece ending at one place, they agree from there
+on; what ends before the window's own end, by the length of a special token, doesn't depend on what follows. Ordinary
+pieces are encoded once and remembered. A piece longer than a leaf is encoded by halves as well: neighbours are
+joined by windows of tokens, which grow until they begin with the left side's token and end with the right side's.
+Then every pair of neighbouring tokens lies within one encoding, and since a sequence of BPE tokens is the encoding of
+its text exactly when each neighbouring pair is, the joined sequence is exact.
 """
 
 from __future__ import annotations
@@ -25,7 +31,9 @@ from .common import lean, text_batches, texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 1024
 CACHE_PIECES = 200_000
-OUTPUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Longer pieces are not remembered.
+CACHED_CHARS = 64
+OUTPUT = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long"
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -49,6 +57,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_str(json.dumps(parsed))
         self.split = regex.compile(PATTERN).findall
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.margin = max(map(len, self.special), default=1)
         self.leaf, self.limit = leaf, cache
         self.cache: dict[str, tuple[str, int, bytes]] = {}
 
@@ -94,30 +103,79 @@ class ByteBpe:
                 return left[: len(left) - a] + window + right[b:]
             size *= 2
 
-    def found(self, piece: str) -> tuple[str, int, bytes]:
-        ids = self.ids_of_piece(piece)
-        out = ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
-        if len(piece) <= 64:
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            self.cache[piece] = out
-        return out
+    def leaves(self, text: str) -> list[str]:
+        """The text cut in halves until none is longer than a leaf."""
+        parts = [text]
+        while len(parts[0]) > self.leaf:  # halves differ by one character at most, and the last is the longest
+            parts = [h for p in parts for h in (p[: (len(p) + 1) // 2], p[(len(p) + 1) // 2 :])]
+        return parts
+
+    def concatenated(self, left: list[str], right: list[str]) -> list[str]:
+        """The pieces of the concatenated texts of two encodings, from a window around the seam."""
+        if not left or not right:
+            return left or right
+        size = 1
+        while True:
+            a, before = 0, 0
+            while a < len(left) and (a < size or before < self.margin):
+                a += 1
+                before += len(left[-a])
+            b, after = 0, 0
+            ends = {before: 0}
+            while b < len(right) and (b <= size or after <= self.margin):
+                after += len(right[b])
+                b += 1
+                ends[before + after] = b
+            window = self.pieces("".join(left[-a:]) + "".join(right[:b]))
+            last = before + after - (self.margin if b < len(right) else 0)
+            at = 0
+            for k, piece in enumerate(window):
+                at += len(piece)
+                if at > last:
+                    break
+                if at >= before and at in ends:
+                    return left[: len(left) - a] + window[: k + 1] + right[ends[at] :]
+            size *= 2
+
+    def grown(self, level: list[list[str]]) -> list[str]:
+        """The pieces of a text from those of its leaves, joined two by two."""
+        while len(level) > 1:
+            level = [self.concatenated(level[k], level[k + 1]) for k in range(0, len(level), 2)]
+        return level[0]
+
+    def remember(self, wanted: set[str]) -> None:
+        """Encodes pieces together; those too long for the cache are left out."""
+        wanted = [p for p in wanted if p not in self.cache and len(p) <= CACHED_CHARS and p not in self.special]
+        for p, x in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
+            self.cache[p] = self.output(x.ids)
+
+    def output(self, ids: list[int]) -> tuple[str, int, bytes]:
+        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in self.ids_of_piece(p)]
+        return [i for p in self.grown([self.pieces(x) for x in self.leaves(text)]) for i in self.ids_of_piece(p)]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        get, find = self.cache.get, self.found
-        found = [get(p) or find(p) for p in self.pieces(text)]
-        ids, counts, data = zip(*found) if found else ((), (), ())
-        decoded = b"".join(data).decode("utf-8", "replace").encode()
-        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def digests(self, batch: list[str]) -> list[tuple[int, str, str, int]]:
+        """OUTPUT of each text. The leaves of all texts are encoded together, then the trees are joined."""
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        trees = [[self.pieces(x) for x in self.leaves(text)] for text in batch]
+        self.remember({p for leaves in trees for pieces in leaves for p in pieces})
+        out, get = [], self.cache.get
+        for leaves in trees:
+            pieces = self.grown(leaves)
+            self.remember({p for p in pieces if p not in self.cache})
+            found = [get(p) or self.output(self.ids_of_piece(p)) for p in pieces]
+            ids, counts, data = zip(*found) if found else ((), (), ())
+            decoded = b"".join(data).decode("utf-8", "replace").encode()
+            out.append((sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(leaves) - 1))
+        return out
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
@@ -151,10 +209,12 @@ def decoded(frame: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
-    """key and OUTPUT for each row of docs: the number of ids, and digests of the ids and of their decoded text.
+    """key and OUTPUT for each row of docs: the number of ids, digests of the ids and of their decoded text, and the
+    number of joins that put the text's leaves together.
 
-    A null text counts as empty: no ids, digests of the empty text. Repeated rows, null keys and further columns are
-    of no consequence. One pass without a shuffle; the vocabulary file (about 1.5 MB) is broadcast as it is.
+    A null text counts as empty: no ids, digests of the empty text. Very long texts, with or without places to split,
+    take time in proportion to their length times its logarithm at most. Repeated rows, null keys and further columns
+    are of no consequence. One pass without a shuffle; the vocabulary file (about 1.5 MB) is broadcast as it is.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(path).read())
     source = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
@@ -162,7 +222,8 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches):
         bpe = ByteBpe(spec.value, leaf)
         for batch in batches:
-            n, ids, data = zip(*(map(bpe.digests, texts(batch.column(1))))) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = bpe.digests(texts(batch.column(1)))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds))], names=[key, *(c.split()[0] for c in OUTPUT.split(", "))])
 
     return text_batches(source).mapInArrow(lean(run), f"`{key}` {source.schema[0].dataType.simpleString()}, {OUTPUT}")

@@ -131,13 +131,17 @@ def digests(library, text):
 
 
 def test_bpe_rows(awkward, awkward_rows, empty, library):
-    same(bpe.round_trip(awkward, P.path(queries.BPE_FILE), leaf=64), [(r[0], *digests(library, r[1])) for r in awkward_rows])
+    same(bpe.round_trip(awkward, P.path(queries.BPE_FILE), leaf=64).drop("n_joins"), [(r[0], *digests(library, r[1])) for r in awkward_rows])
     assert bpe.round_trip(empty, P.path(queries.BPE_FILE)).count() == 0
 
 
 def test_bpe_query(spark, library):
     texts = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
-    same(queries.op3_tree_bpe(spark, SF), [(k, *digests(library, t)) for k, t in texts])
+    out = queries.op3_tree_bpe(spark, SF)
+    same(out.drop("n_joins"), [(k, *digests(library, t)) for k, t in texts])
+    joins = {r.doc_id: r.n_joins for r in out.collect()}
+    halved = lambda n: 0 if n <= bpe.LEAF_CHARS else 1 + 2 * halved((n + 1) // 2)
+    assert joins == {k: halved(len(t)) for k, t in texts} and sum(joins.values()) > len(texts)
 
 
 def test_bpe_frames(awkward, library):
@@ -146,13 +150,33 @@ def test_bpe_frames(awkward, library):
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
 
 
+def test_joins_are_made_of_windows():
+    """Neighbours meet in few pieces round the seam; the rest of either side is taken as it is."""
+    tree = bpe.ByteBpe(SPEC, leaf=256)
+    read, pieces = [], tree.pieces
+    tree.pieces = lambda text: read.append(len(text)) or pieces(text)
+    text = " ".join(f"word{k} isn't it," for k in range(4000))
+    assert tree.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    leaves = len(tree.leaves(text))
+    assert 2 * leaves - 1 <= len(read) < 3 * leaves and max(read[leaves:]) < 200
+
+
+def test_special_tokens_at_every_seam():
+    for leaf in (2, 3, 8, 20):
+        tree = bpe.ByteBpe(SPEC, leaf=leaf)
+        for k in range(40):
+            text = "x" * k + " a<|endoftext|>  b<|endoftext|><|endof 'll" + "<|endoftext|>" * 3
+            assert tree.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 TREE = bpe.ByteBpe(SPEC, leaf=4)
 LIBRARY = Tokenizer.from_str(SPEC)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("abetionsh éß日  \n\t'.-"), st.characters(exclude_categories=["Cs"])), max_size=80))
-def test_tree_concatenation_is_exact(text):
+@given(st.lists(st.one_of(st.sampled_from([*"abetionsh éß日  \n\t'.-", "<|endoftext|>", "<|end", "text|>"]), st.characters(exclude_categories=["Cs"])), max_size=80))
+def test_tree_concatenation_is_exact(parts):
+    text = "".join(parts)
     assert TREE.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
