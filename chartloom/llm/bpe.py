@@ -1,8 +1,8 @@
 """Byte-level BPE with tree concatenation.
 
-A text longer than a leaf is cut in halves, without regard to words, down to leaves. Leaves are encoded for
-themselves, all of a batch together, and neighbours are joined up the tree: a window around the seam is encoded again
-and grows until it agrees with either side at a place between two tokens.
+A text longer than a leaf is cut in halves, without regard to words, down to leaves. Leaves are encoded each for
+itself, and neighbours are joined up the tree: a window around the seam is encoded again and grows until it agrees with
+either side at a place between two tokens. A leaf is encoded by splitting it into pieces and looking these up.
 
 The tokenizer splits a text into pieces by a pattern that reads on from where the last piece ended, and no merge
 crosses a piece. So once the window and the right side both have a piece ending at one place, they agree from there
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import pyarrow as pa
 import regex
@@ -30,7 +31,7 @@ from .common import lean, text_batches, texts
 #: The split pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 1024
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Longer pieces are not remembered.
 CACHED_CHARS = 64
 OUTPUT = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long"
@@ -43,6 +44,27 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """What pieces give: their ids as text and the bytes that these decode to. When as many as the limit are held, they
+    become the old ones, from which those still in use are taken over."""
+
+    def __init__(self, bpe: "ByteBpe"):
+        super().__init__()
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        out = self.old.get(piece)
+        if out is None:
+            ids = self.bpe.ids_of_piece(piece)
+            out = ",".join(map(str, ids)), self.bpe.decode_bytes(ids)
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= self.bpe.limit:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class ByteBpe:
     """Encodes and decodes as the tokenizer file's library does, without added, begin or end tokens."""
 
@@ -57,9 +79,11 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_str(json.dumps(parsed))
         self.split = regex.compile(PATTERN).findall
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        # the library's threads keep to the cores of a Spark task, which Spark names in OMP_NUM_THREADS
+        os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         self.margin = max(map(len, self.special), default=1)
         self.leaf, self.limit = leaf, cache
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.cache = Remembered(self)
 
     def pieces(self, text: str) -> list[str]:
         if not self.apart or not any(s in text for s in self.special):
@@ -143,15 +167,6 @@ class ByteBpe:
             level = [self.concatenated(level[k], level[k + 1]) for k in range(0, len(level), 2)]
         return level[0]
 
-    def remember(self, wanted: set[str]) -> None:
-        """Encodes pieces together; those too long for the cache are left out."""
-        wanted = [p for p in wanted if p not in self.cache and len(p) <= CACHED_CHARS and p not in self.special]
-        for p, x in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
-            self.cache[p] = self.output(x.ids)
-
-    def output(self, ids: list[int]) -> tuple[str, int, bytes]:
-        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
-
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -161,21 +176,13 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def digests(self, batch: list[str]) -> list[tuple[int, str, str, int]]:
-        """OUTPUT of each text. The leaves of all texts are encoded together, then the trees are joined."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        trees = [[self.pieces(x) for x in self.leaves(text)] for text in batch]
-        self.remember({p for leaves in trees for pieces in leaves for p in pieces})
-        out, get = [], self.cache.get
-        for leaves in trees:
-            pieces = self.grown(leaves)
-            self.remember({p for p in pieces if p not in self.cache})
-            found = [get(p) or self.output(self.ids_of_piece(p)) for p in pieces]
-            ids, counts, data = zip(*found) if found else ((), (), ())
-            decoded = b"".join(data).decode("utf-8", "replace").encode()
-            out.append((sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(leaves) - 1))
-        return out
+    def digests(self, text: str) -> tuple[int, str, str, int]:
+        """OUTPUT of the text: leaves are encoded, then joined up the tree."""
+        leaves = [self.pieces(x) for x in self.leaves(text)]
+        found = list(map(self.cache.__getitem__, self.grown(leaves)))
+        ids = ",".join([x for x, _ in found])
+        decoded = b"".join([x for _, x in found]).decode("utf-8", "replace").encode()
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(leaves) - 1
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
@@ -222,7 +229,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches):
         bpe = ByteBpe(spec.value, leaf)
         for batch in batches:
-            found = bpe.digests(texts(batch.column(1)))
+            found = list(map(bpe.digests, texts(batch.column(1))))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds))], names=[key, *(c.split()[0] for c in OUTPUT.split(", "))])
 
