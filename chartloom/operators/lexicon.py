@@ -1,11 +1,14 @@
 """Dictionary joins: exact, fuzzy, windows of words, correction, layered parsing.
 
-Words are made distinct before they meet a lexicon, so the costly comparison runs once for each spelling. What changes
-goes back to the texts by document, and only for documents with a change.
+A lexicon is small: it is broadcast after a check of its size, and the words of the texts are not shuffled to meet it.
+Spellings are made distinct before the costly comparison. What it finds, usually few spellings, goes back to the texts
+in the row, as a literal dictionary; only where there are many are words joined and put back by document.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,24 @@ from ..functions import text as T
 from ..functions.similarity import close_match, lcs, may_reach, reaches
 
 THRESHOLD = 85
+#: Rows of a lexicon, or of what was found in it, that a broadcast may hold; beyond that they are shuffled.
+BROADCAST_ROWS = 200_000
+#: Entries of a dictionary that is looked up in the row.
+IN_ROW = 500
+_CHANGE = "struct<pos:int,word:string,corrected:string,score:int,term:string>"
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df as the smaller side of a join: its rows in hand and broadcast if there are at most so many, else as it is."""
+    found = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if len(found) <= rows else df
+
+
+def looked_up(word: Column, entries: dict[str, object], kind: str) -> Column:
+    """The entry of a word, of the type kind; null for others. Whether there is one is a hash lookup and comes first."""
+    if not entries:
+        return F.lit(None).cast(kind)
+    return F.when(word.isin(sorted(entries)), F.element_at(F.from_json(F.lit(json.dumps(entries)), f"map<string,{kind}>"), word))
 
 
 def words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -21,14 +42,40 @@ def words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return out.withColumn("clean", T.alpha_lower(F.col("word")))
 
 
+def spellings(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(clean) of the distinct words of at least three letters."""
+    clean = F.array_distinct(F.transform(T.tokens(F.col(text)), T.alpha_lower))
+    return docs.select(F.explode(clean).alias("clean")).where(F.length("clean") >= 3).distinct()
+
+
 def single(lexicon: DataFrame) -> DataFrame:
     return lexicon.where(~F.col("term").contains(" "))
 
 
 def exact(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term): terms that a word of at least three letters equals."""
-    found = words(docs, key, text).where(F.length("clean") >= 3)
-    return found.join(lexicon.select("term").distinct(), F.col("clean") == F.col("term")).select(key, "term").distinct()
+    clean = F.array_distinct(F.transform(T.tokens(F.col(text)), T.alpha_lower))
+    found = docs.select(key, F.explode(clean).alias("term")).where(F.length("term") >= 3)
+    return found.join(sized(single(lexicon).select("term").distinct()), "term", "left_semi").select(key, "term").distinct()
+
+
+def _letters(column: str) -> Column:
+    """The letters a to z that a text has, as bits. Two texts differ in no more of them than their Indel distance."""
+    return F.expr(" | ".join(f"if(contains({column}, '{chr(97 + k)}'), {1 << k}, 0)" for k in range(26)))
+
+
+def close(forms: DataFrame, terms: DataFrame, threshold: int, column: str, also: list[str]) -> DataFrame:
+    """forms (column, also, ...) with term and ord of each of terms (term, ord, also) whose Indel ratio reaches threshold.
+
+    Terms stand under every length that a form can have, so that the join is one by length; letters and the edit
+    distance bound the ratio before it is computed.
+    """
+    lengths = F.expr(f"filter(sequence(1, greatest(1, length(term) * {200 - threshold} div {threshold})), l -> 200 * least(l, length(term)) >= {threshold} * (l + length(term)))")
+    dealt = sized(terms.select("term", "ord", *also, _letters("term").alias("_of_term"), F.explode(lengths).alias("_length")))
+    near = forms.withColumns({"_length": F.length(column), "_of_form": _letters(column)}).join(dealt, ["_length", *also])
+    allowed = F.floor((F.length(column) + F.length("term")) * (100 - threshold) / 100)
+    near = near.where((F.bit_count(F.col("_of_form").bitwiseXOR(F.col("_of_term"))) <= allowed) & F.expr(may_reach(column, "term", threshold)))
+    return near.where(reaches(F.col(column), F.col("term"), threshold)).drop("_length", "_of_form", "_of_term")
 
 
 def fuzzy(spellings: DataFrame, lexicon: DataFrame, threshold: int = THRESHOLD, column: str = "clean") -> DataFrame:
@@ -36,10 +83,10 @@ def fuzzy(spellings: DataFrame, lexicon: DataFrame, threshold: int = THRESHOLD,
 
     Exact spellings are left out, as they need no correction.
     """
-    s = spellings.select(F.col(column).alias("s")).where(F.length("s") >= 3).distinct()
     terms = single(lexicon)
-    s = s.join(terms.select("term"), F.col("s") == F.col("term"), "left_anti")
-    near = s.join(terms, F.expr(may_reach("s", "term", threshold))).where(reaches(F.col("s"), F.col("term"), threshold))
+    s = spellings.select(F.col(column).alias("s")).where(F.length("s") >= 3).distinct()
+    s = s.join(sized(terms.select(F.col("term").alias("s")).distinct()), "s", "left_anti")
+    near = close(s, terms, threshold, "s", [])
     near = near.withColumn("ratio", 200 * lcs(F.col("s"), F.col("term")) / (F.length("s") + F.length("term")))
     best = near.groupBy("s").agg(F.max(F.struct("ratio", -F.col("ord"), "term")).alias("b"))
     return best.select(F.col("s").alias(column), F.col("b.term").alias("term"), F.floor("b.ratio").cast("int").alias("score"))
@@ -47,45 +94,65 @@ def fuzzy(spellings: DataFrame, lexicon: DataFrame, threshold: int = THRESHOLD,
 
 def corrections(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(key, pos, word, corrected, term, score) of the words that the lexicon changes."""
-    w = words(docs, key, text)
-    near = fuzzy(w, lexicon, threshold)
-    return w.join(near, "clean").select(key, "pos", "word", T.recased(F.col("word"), F.col("term")).alias("corrected"), "term", "score")
+    near = sized(fuzzy(spellings(docs, text), lexicon, threshold))
+    return words(docs, key, text).join(near, "clean").select(key, "pos", "word", T.recased(F.col("word"), F.col("term")).alias("corrected"), "term", "score")
+
+
+def window_forms(text: Column, sizes: list[int]) -> Column:
+    """Distinct windows of words of each size, of the lower-cased text, as structs (n, g)."""
+    of_size = lambda w, n: F.transform(F.array_distinct(T.ngrams(w, F.lit(n))), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    return T.let(T.tokens(F.lower(text)), lambda w: F.concat(*[of_size(w, n) for n in sizes]))
 
 
 def windows(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(key, term) of terms of several words that some window of as many lower-cased words comes close to."""
-    terms = lexicon.where(F.col("term").contains(" ")).select("term", F.size(T.tokens(F.col("term"))).alias("n"))
-    sizes = [r.n for r in terms.select("n").distinct().collect()]
+    terms = lexicon.where(F.col("term").contains(" ")).select("term", "ord", F.size(T.tokens(F.col("term"))).alias("n"))
+    sizes = sorted(r.n for r in terms.select("n").distinct().collect())
     if not sizes:
         return docs.select(key, F.lit("").alias("term")).limit(0)
+    grams = docs.select(key, F.explode(window_forms(F.col(text), sizes)).alias("x")).select(key, "x.*")
+    return close(grams, terms, threshold, "g", ["n"]).select(key, "term").distinct()
 
-    def of_size(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("w"), F.lit(n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
-    split = docs.select(key, T.tokens(F.lower(text)).alias("w"))
-    grams = split.select(key, F.explode(F.concat(*map(of_size, sorted(sizes)))).alias("x")).select(key, "x.*").distinct()
-    seen = grams.select("n", "g").distinct().join(terms, "n").where(F.expr(may_reach("g", "term", threshold))).where(reaches(F.col("g"), F.col("term"), threshold))
-    return grams.join(seen.select("n", "g", "term"), ["n", "g"]).select(key, "term").distinct()
+def _rebuilt(text: Column, changes: Column, keep_lines: bool) -> Column:
+    """The text with words replaced by place: joined by one space, or with the white space that stood between them."""
+    new = F.map_from_entries(F.transform(changes, lambda x: F.struct(x["pos"], x["corrected"])))
+    put = lambda given: F.transform(given, lambda w, i: F.coalesce(F.try_element_at(new, i), w))
+    if not keep_lines:
+        return F.array_join(put(T.tokens(text)), " ")
+    spaces = F.regexp_extract_all(text, F.lit(f"({T.SPACE})"), F.lit(1))
+    led = F.coalesce(text.rlike(f"^{T.SPACE}"), F.lit(False)).cast("int")  # white space before the first word
+    between = lambda w, i: F.concat(F.coalesce(F.get(spaces, i - 1 + led), F.lit("")), w)
+    whole = F.array_join(F.transform(put(T.tokens(text)), between), "")
+    return F.concat(whole, F.coalesce(F.get(spaces, F.size(T.tokens(text)) - 1 + led), F.lit("")))
 
 
 def corrected(docs: DataFrame, lexicon: DataFrame, key: str, kind: str, text: str = "text", threshold: int = THRESHOLD, keep_lines: bool = False) -> DataFrame:
     """docs with corrected_text, corrections (from, to, type, score) and matched terms; keys must be unique and not null.
 
-    Words are joined by one space, as the text is rebuilt from its words; keep_lines leaves texts without any change as
-    they are, and in others replaces words in place.
+    Words are joined by one space, as the text is rebuilt from its words; keep_lines keeps the white space between them.
     """
-    changed = corrections(docs, lexicon, key, text, threshold)
-    one = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "word", "corrected", "score", "term"))).alias("_changes"))
-    matched = exact(docs, lexicon, key, text).union(changed.select(key, "term")).union(windows(docs, lexicon, key, text, threshold))
-    matched = matched.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("_matched"))
-    out = docs.join(one, key, "left").join(matched, key, "left")
-    given = T.tokens(F.col(text))
-    new = F.map_from_entries(F.transform(F.coalesce("_changes", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), lambda x: F.struct(x["pos"], x["corrected"])))
-    rebuilt = F.array_join(F.transform(given, lambda w, i: F.coalesce(F.try_element_at(new, i), w)), " ")
-    if keep_lines:
-        rebuilt = F.aggregate(F.coalesce("_changes", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), F.col(text), lambda a, x: F.replace(a, x["word"], x["corrected"]))
-    listed = F.transform(F.coalesce("_changes", F.array().cast("array<struct<pos:int,word:string,corrected:string,score:int,term:string>>")), lambda x: F.struct(x["word"].alias("from"), x["corrected"].alias("to"), F.lit(kind).alias("type"), x["score"].alias("score")))
-    return out.select(*docs.columns, rebuilt.alias("corrected_text"), listed.alias("corrections"), F.coalesce("_matched", F.array().cast("array<string>")).alias("matched"))
+    terms = single(lexicon).where(F.length("term") >= 3).select(F.col("term").alias("clean"), "term", F.lit(None).cast("int").alias("score"))
+    known = terms.distinct().union(fuzzy(spellings(docs, text), lexicon, threshold))
+    found = known.limit(IN_ROW + 1).collect()
+    in_row = len(found) <= IN_ROW
+    if in_row:
+        entry = lambda w: looked_up(T.alpha_lower(w), {r.clean: {"term": r.term, "score": r.score} for r in found}, "struct<term:string,score:int>")
+        hits = F.filter(F.transform(T.tokens(F.col(text)), lambda w, i: F.struct(i.alias("pos"), w.alias("word"), entry(w).alias("e"))), lambda x: x["e"].isNotNull())
+        shaped = F.transform(hits, lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), F.when(x["e"]["score"].isNotNull(), T.recased(x["word"], x["e"]["term"])).alias("corrected"), x["e"]["score"].alias("score"), x["e"]["term"].alias("term")))
+        out = docs.withColumn("_hits", shaped)
+    else:
+        w = words(docs, key, text).join(sized(known), "clean")
+        w = w.withColumn("corrected", F.when(F.col("score").isNotNull(), T.recased(F.col("word"), F.col("term"))))
+        out = docs.join(w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "word", "corrected", "score", "term"))).alias("_hits")), key, "left")
+    out = out.withColumn("_hits", F.coalesce("_hits", F.array().cast(f"array<{_CHANGE}>")))
+    several = windows(docs, lexicon, key, text, threshold).groupBy(key).agg(F.collect_set("term").alias("_several"))
+    none = lexicon.where(F.col("term").contains(" ")).isEmpty()
+    out = out.withColumn("_several", F.array().cast("array<string>")) if none else out.join(several, key, "left")
+    changes = F.filter("_hits", lambda x: x["score"].isNotNull())
+    matched = F.array_sort(F.array_union(F.transform("_hits", lambda x: x["term"]), F.coalesce("_several", F.array().cast("array<string>"))))
+    listed = F.transform(changes, lambda x: F.struct(x["word"].alias("from"), x["corrected"].alias("to"), F.lit(kind).alias("type"), x["score"].alias("score")))
+    return out.select(*docs.columns, T.let(changes, lambda c: _rebuilt(F.col(text), c, keep_lines)).alias("corrected_text"), listed.alias("corrections"), matched.alias("matched"))
 
 
 def cascade(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -145,13 +212,20 @@ def token_corrections(spellings: DataFrame, medical: list[str], english: list[st
 
 def parsed(docs: DataFrame, medical: list[str], english: list[str], key: str, text: str = "text", **cutoffs) -> DataFrame:
     """docs with corrected_text, corrections, dictionary_matches, medical_matches, english_matches; keys unique and not null."""
-    split = docs.select(key, F.posexplode(T.pieces(F.col(text))).alias("pos", "token"))
-    known = token_corrections(split, medical, english, **cutoffs)
-    changed = split.join(known, "token").where("corrected <> token")
-    one = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("token").alias("from"), F.col("corrected").alias("to"), "source"))).alias("_changes"))
-    out = docs.join(one, key, "left").withColumn("_changes", F.coalesce("_changes", F.array().cast("array<struct<pos:int,from:string,to:string,source:string>>")))
+    distinct = docs.select(F.explode(F.array_distinct(T.pieces(F.col(text)))).alias("token")).distinct()
+    known = token_corrections(distinct, medical, english, **cutoffs).where("corrected <> token")
+    found = known.limit(IN_ROW + 1).collect()
+    kind = "struct<pos:int,from:string,to:string,source:string>"
+    if len(found) <= IN_ROW:
+        entry = lambda w: looked_up(w, {r.token: {"to": r.corrected, "source": r.source} for r in found}, "struct<to:string,source:string>")
+        hits = F.filter(F.transform(T.pieces(F.col(text)), lambda w, i: F.struct(i.alias("pos"), w.alias("from"), entry(w).alias("e"))), lambda x: x["e"].isNotNull())
+        out = docs.withColumn("_changes", F.transform(hits, lambda x: F.struct(x["pos"].alias("pos"), x["from"].alias("from"), x["e"]["to"].alias("to"), x["e"]["source"].alias("source"))))
+    else:
+        split = docs.select(key, F.posexplode(T.pieces(F.col(text))).alias("pos", "token")).join(sized(known), "token")
+        one = split.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("token").alias("from"), F.col("corrected").alias("to"), "source"))).alias("_changes"))
+        out = docs.join(one, key, "left").withColumn("_changes", F.coalesce("_changes", F.array().cast(f"array<{kind}>")))
     new = F.map_from_entries(F.transform("_changes", lambda x: F.struct(x["pos"], x["to"])))
-    final = F.array_join(F.transform(T.pieces(F.col(text)), lambda w, i: F.coalesce(F.try_element_at(new, i), w)), "")
+    final = T.let(new, lambda m: F.array_join(F.transform(T.pieces(F.col(text)), lambda w, i: F.coalesce(F.try_element_at(m, i), w)), ""))
     out = out.withColumn("corrected_text", F.trim(final))
     listed = F.transform("_changes", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["source"].alias("source")))
     final = F.col("corrected_text")

@@ -208,3 +208,59 @@ def test_sources_and_stream(spark, tmp_path):
     q = ingest.run(ingest.arriving(spark, str(scans)), lambda b: sources.recognised(b, sources.plain_text), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_correction_keeps_white_space(spark):
+    text = "  asprin and asprinol,\n\n\taspirln (ASPRIN)  "
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \n"), (5, "none here \n")], "id long, text string")
+    out = {r.id: r for r in lexicon.corrected(docs, lexicons.of_terms(spark, lexicons.DRUGS), "id", "drug", keep_lines=True).collect()}
+    assert out[1].corrected_text == "  aspirin and asprinol,\n\n\taspirin (ASPIRIN)  "
+    assert [(c["from"], c["to"]) for c in out[1].corrections] == [("asprin", "aspirin"), ("aspirln", "aspirin"), ("(ASPRIN)", "(ASPIRIN)")]
+    assert [out[k].corrected_text for k in (3, 4, 5)] == ["", " \n", "none here \n"]
+
+
+def test_both_ways_back_to_the_texts_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "asprin 20 mg, Hart failure and METFORNIN for diabetis"), (2, "nothing"), (3, None), (4, "aspirin insulin insulin")], "id long, text string")
+    terms = lexicons.of_terms(spark, lexicons.DRUGS + lexicons.DISEASES)
+    both = []
+    for most in (500, 0):
+        monkeypatch.setattr(lexicon, "IN_ROW", most)
+        one = lexicon.corrected(docs, terms, "id", "drug").orderBy("id").collect()
+        two = lexicon.parsed(docs, lexicons.DRUGS + lexicons.DISEASES, lexicons.ENGLISH, "id").orderBy("id").collect()
+        both.append((one, two))
+    assert both[0] == both[1]
+    assert both[0][0][0].matched == ["aspirin", "diabetes", "heart failure", "metformin"]
+
+
+def test_words_are_not_shuffled_to_meet_a_lexicon(spark):
+    docs = spark.createDataFrame([(k, "asprin and metfornin for hart failure") for k in range(50)], "id long, text string")
+    terms = lexicons.of_terms(spark, lexicons.DRUGS + ["heart failure"])
+    single = lexicons.of_terms(spark, lexicons.DRUGS)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    for df in (lexicon.exact(docs, terms, "id"), lexicon.fuzzy(lexicon.spellings(docs), terms), lexicon.windows(docs, terms, "id"), lexicon.corrected(docs, terms, "id", "drug"), lexicon.parsed(docs, lexicons.DRUGS, lexicons.ENGLISH, "id")):
+        assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
+    for df in (lexicon.corrected(docs, single, "id", "drug"), lexicon.parsed(docs, lexicons.DRUGS, lexicons.ENGLISH, "id")):
+        assert "Exchange" not in plan(df) and "Join" not in plan(df)
+    assert "SortMergeJoin" not in plan(lexicon.exact(docs, terms, "id")) + plan(lexicon.windows(docs, terms, "id"))
+
+
+def test_close_terms_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdeg") for _ in range(n))
+    terms = sorted({word(rnd.randint(3, 9)) for _ in range(60)})
+    forms = sorted({word(rnd.randint(3, 10)) for _ in range(300)} | {t[:2] + rnd.choice("abz") + t[2:] for t in terms})
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0] * (len(b) + 1)
+            for k, y in enumerate(b):
+                row[k + 1] = old[k] + 1 if x == y else max(old[k + 1], row[k])
+        return 200 * row[-1], len(a) + len(b)
+
+    for threshold in (60, 85):
+        table = spark.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, ord int")
+        got = {(r.s, r.term) for r in lexicon.close(spark.createDataFrame([(f,) for f in forms], "s string"), table, threshold, "s", []).collect()}
+        assert got == {(f, t) for f in forms for t in terms if (x := ratio(f, t))[0] >= threshold * x[1]}
