@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +50,29 @@ def hits(lower_text: Column, words: list[str]) -> Column:
     return sum((lower_text.contains(w).cast("int") for w in words[1:]), lower_text.contains(words[0]).cast("int"))
 
 
-def scores(text: Column, lower_text: Column) -> Column:
+def needed(pattern: str) -> list[str]:
+    """Literals of which a match of the pattern holds one: its longest part outside groups, else its first alternatives."""
+    outside = re.findall("[a-z-]{3,}", re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]|\\[a-z.][+*?]?", " ", pattern))
+    return [max(outside, key=len)] if outside else re.search(r"\(\?:([^()]*)\)", pattern).group(1).split("|")
+
+
+def folded(text: Column) -> Column:
+    """Lower case for literals: also of the signs that a pattern without regard to case takes for i and s."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
+
+
+def counted(text: Column, folded_text: Column, pattern: str) -> Column:
+    """Matches of the pattern; the regular expression runs only over texts that hold a literal part of it."""
+    parts = needed(pattern)
+    some = sum((folded_text.contains(w).cast("int") for w in parts[1:]), folded_text.contains(parts[0]).cast("int")) > 0
+    return F.when(some, F.regexp_count(text, F.lit("(?iU)" + pattern))).otherwise(0)
+
+
+def scores(text: Column, lower_text: Column, folded_text: Column) -> Column:
     """Struct (score, ord, type) for each type."""
     out = []
     for k, (name, (words, patterns)) in enumerate(TYPES.items()):
-        score = sum((2 * F.regexp_count(text, F.lit("(?iU)" + p)) for p in patterns), hits(lower_text, words))
+        score = sum((2 * counted(text, folded_text, p) for p in patterns), hits(lower_text, words))
         out.append(F.struct(score.alias("score"), F.lit(-k).alias("ord"), F.lit(name).alias("type")))
     return F.array(*out)
 
@@ -63,7 +83,7 @@ def _blank(text: Column) -> Column:
 
 def ranked(text: Column) -> Column:
     """Types by falling score; equal ones in the table's order. Scores of a type are computed once."""
-    return let(F.coalesce(text, F.lit("")), lambda t: let(F.lower(t), lambda low: F.reverse(F.array_sort(scores(t, low)))))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.struct(F.lower(t).alias("low"), folded(t).alias("folded")), lambda x: F.reverse(F.array_sort(scores(t, x["low"], x["folded"])))))
 
 
 def classification(ranking: Column, text: Column) -> Column:
@@ -104,5 +124,6 @@ def keywords_found(text: Column) -> Column:
     source = F.coalesce(text, F.lit(""))
     words = sorted({w for ws, _ in TYPES.values() for w in ws})
     found = [let(F.lower(source), lambda low: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))]
-    found += [F.regexp_extract_all(source, F.lit("(?iU)" + p), F.lit(0)) for _, ps in TYPES.values() for p in ps]
+    holds = lambda p: sum((folded(source).contains(w).cast("int") for w in needed(p)), F.lit(0)) > 0
+    found += [F.when(holds(p), F.regexp_extract_all(source, F.lit("(?iU)" + p), F.lit(0))).otherwise(F.array().cast("array<string>")) for _, ps in TYPES.values() for p in ps]
     return F.array_sort(F.array_distinct(F.concat(*found)))

@@ -32,7 +32,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    # a small table may be one file that can't be split; a large one has files for all cores and stays as it is
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def quoted(s: str) -> str:
@@ -427,7 +430,7 @@ def best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes(spark, sf_dir).join(notes(spark, sf_dir, noisy=False).select("doc_id", F.col("text").alias("truth")), "doc_id")
+    return notes(spark, sf_dir, truth=True)
 
 
 @query(f"""{NOTES}, truth AS ({rendered(False)}) SELECT kind, round(avg(levenshtein(t.text, n.text)::DOUBLE / greatest(length(t.text), 1)), 9) AS mean_cer, count(*) AS documents

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def rendered(noisy: bool) -> str:
-    """SELECT doc_id, kind, text; noisy has the misspelt medicine names."""
+def _text(noisy: bool) -> str:
     drug = "CASE o_orderkey % 5 WHEN 0 THEN 'Metformin' WHEN 1 THEN 'asp1rin' WHEN 2 THEN 'Metfornin' WHEN 3 THEN 'omeprazole' ELSE 'WARFARlN' END"
     if not noisy:
         drug = "CASE o_orderkey % 5 WHEN 0 THEN 'Metformin' WHEN 1 THEN 'aspirin' WHEN 2 THEN 'Metformin' WHEN 3 THEN 'omeprazole' ELSE 'WARFARIN' END"
-    return f"""
-SELECT o_orderkey AS doc_id, o_orderpriority AS kind, concat_ws(chr(10),
+    return f"""concat_ws(chr(10),
   concat('Hospital : Unit ', o_orderpriority),
   CASE o_orderkey % 4 WHEN 0 THEN 'Discharge Summary' WHEN 1 THEN 'Laboratory report, reference range below' WHEN 2 THEN 'Progress note' ELSE 'Prescription:' END,
   concat('Patient Name : ', trim(translate(c_name, '#0123456789', ' abcdefghij'))),
@@ -30,13 +28,20 @@ SELECT o_orderkey AS doc_id, o_orderpriority AS kind, concat_ws(chr(10),
   concat('Also on ', CASE o_orderkey % 7 WHEN 0 THEN 'insulin 10 units daily' WHEN 1 THEN 'tramadol' ELSE 'nothing' END, ' for hart failure'),
   'Instructions: return if condition is severe',
   concat('Seek urgent care: ', CASE o_orderkey % 6 WHEN 0 THEN 'abnormal findings' WHEN 1 THEN 'fever' ELSE 'none' END),
-  concat('Consultant: Dr. ', CASE o_orderkey % 2 WHEN 0 THEN 'Lee' ELSE 'Adams' END)) AS text
+  concat('Consultant: Dr. ', CASE o_orderkey % 2 WHEN 0 THEN 'Lee' ELSE 'Adams' END))"""
+
+
+def rendered(noisy: bool, truth: bool = False) -> str:
+    """SELECT doc_id, kind, text; noisy has the misspelt medicine names. truth adds the right text as a column."""
+    more = f", {_text(False)} AS truth" if truth else ""
+    return f"""
+SELECT o_orderkey AS doc_id, o_orderpriority AS kind, {_text(noisy)} AS text{more}
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
-def notes(spark: SparkSession, sf_dir: str, noisy: bool = True) -> DataFrame:
-    """doc_id, kind, text for each order; the views are private to this call."""
-    sql = rendered(noisy).replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}")
+def notes(spark: SparkSession, sf_dir: str, noisy: bool = True, truth: bool = False) -> DataFrame:
+    """doc_id, kind, text (and truth) for each order; the views are private to this call."""
+    sql = rendered(noisy, truth).replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}")
     # a small table is one file and so one task; its narrow rows are dealt out before they become whole texts
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     return spark.sql(sql, orders=orders, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
