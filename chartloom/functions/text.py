@@ -99,9 +99,11 @@ def pieces(text: Column) -> Column:
 
 
 def response_cleaned(text: Column) -> Column:
-    """A model's answer without fences and its usual headings."""
-    stripped = F.regexp_replace(F.trim(text), r"^[`\s]+|[`\s]+$", "")
-    return F.trim(F.replace(F.replace(stripped, F.lit("Transcription:"), F.lit("")), F.lit("OCR:"), F.lit("")))
+    """A model's answer without a fence around it and its usual headings."""
+    bare = lambda c: F.regexp_replace(c, r"(?Ud)^\s+|\s+\z", "")
+    fenced = lambda c: c.startswith("```") & c.endswith("```")
+    opened = let(bare(text), lambda c: F.when(fenced(c), bare(F.regexp_replace(c, "^`+|`+$", ""))).otherwise(c))
+    return bare(F.replace(F.replace(opened, F.lit("Transcription:"), F.lit("")), F.lit("OCR:"), F.lit("")))
 
 
 def suffix(path: Column) -> Column:

@@ -174,6 +174,13 @@ def found_terms(text: Column, terms: list[str]) -> Column:
     return T.let(F.lower(F.coalesce(text, F.lit(""))), hits)
 
 
+def detected(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """docs with corrected_text (the text as it is), no corrections and matched: what is left without a fuzzy matcher."""
+    hits = T.let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(low.contains(t) & whole_word(low, t), F.lit(t)) for t in sorted(set(terms))])))
+    none = F.array().cast("array<struct<from:string,to:string,type:string,score:int>>")
+    return docs.withColumns({"corrected_text": F.col(text), "corrections": none, "matched": hits})
+
+
 def substring_matches(text: Column, terms: list[str]) -> Column:
     """Terms that occur anywhere in the lower-cased text, sorted."""
     return T.let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(F.array(*map(F.lit, sorted(set(terms)))), lambda t: F.contains(low, t)))

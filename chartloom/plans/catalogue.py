@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -255,7 +256,16 @@ def dictionary_diagnosis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).select("doc_id", F.array_join(merged, "; ").alias("diagnosis"))
 
 
-@query()
+_MEDICINE_LINE = f"""list_filter(list_transform(list_transform({_block_lines(E.MEDICINES)}, lambda l: {{'line': l, 'dosage': {_x(E.DOSAGE, source='l')}, 'frequency': {_x(E.FREQUENCY, source='l')}}}),
+ lambda m: {{'name': {_STRIP(f"regexp_replace({_STRIP('CASE WHEN m.dosage IS NOT NULL THEN substring(m.line, 1, instr(m.line, m.dosage) - 1) WHEN m.frequency IS NOT NULL THEN substring(m.line, 1, instr(m.line, m.frequency) - 1) ELSE m.line END')}, {quoted(E.BULLET)}, '')")}, 'dosage': m.dosage, 'frequency': m.frequency}}), lambda m: length(m.name) > 2)"""
+_NEAR = lambda p: f"nullif(regexp_extract(regexp_extract(text, '(?i)\\b' || d || '\\b(.{{0,30}})', 1), {quoted('(?i)' + p)}, 1), '')"
+#: Columns doc_id, text, m (regex medicines) and new (dictionary drugs that are in no name so far).
+_MERGED_MEDICINES = f"""merged AS (SELECT doc_id, text, m, list_reduce(list_transform(f, lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda y: contains(y, b[1]))) > 0 THEN a ELSE list_concat(a, b) END,
+ list_transform(m, lambda x: lower(x.name)))[len(m) + 1:] AS new FROM (SELECT doc_id, text, {_MEDICINE_LINE} AS m, {_found_sql(DRUGS)} AS f FROM notes))"""
+
+
+@query(f"""{NOTES}, {_MERGED_MEDICINES} SELECT doc_id, x.name AS name, x.dosage AS dosage, x.frequency AS frequency FROM (SELECT doc_id, unnest(m) AS x FROM merged)
+ UNION ALL SELECT doc_id, upper(d[1:1]) || d[2:] AS name, {_NEAR(E.DOSAGE)} AS dosage, {_NEAR(E.NEAR_FREQUENCY)} AS frequency FROM (SELECT doc_id, text, unnest(new) AS d FROM merged)""")
 def dictionary_medicine_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pipeline.extracted(notes(spark, sf_dir), DRUGS, DISEASES)
     return out.select("doc_id", F.explode("extracted_data.medicines").alias("m")).select("doc_id", "m.*")
@@ -315,9 +325,35 @@ def dict_ngram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.windows(notes(spark, sf_dir), of_terms(spark, DISEASES), "doc_id")
 
 
-@query()
+def _renamed(sql: str, ending: str, names: list[str]) -> str:
+    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: m[1] + ending, sql)
+
+
+def _stage_sql(source: str, ending: str, terms: list[str], kind: str) -> str:
+    """CTEs that end in out<ending> (doc_id, text, corrections, matched): one dictionary's say on source (doc_id, text)."""
+    table = "drugs AS (SELECT unnest(range(len(t))) AS ord, unnest(t) AS term FROM (SELECT " + listed(terms) + " AS t))"
+    several = [t for t in terms if " " in t]
+    grams = f", list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT doc_id, {_TOKENS('lower(text)')} AS w FROM notes)" if several else ""
+    parts = [_WORDS, table, _FUZZY, f"""new AS (SELECT doc_id, pos, word AS old, term, score, CASE WHEN term IS NULL THEN word ELSE before || {_CASED} || after END AS word
+ FROM (SELECT doc_id, pos, word, term, floor(ratio)::INT AS score, {_PEELED} FROM words LEFT JOIN near USING (clean)))"""]
+    found = "SELECT doc_id, term FROM words JOIN drugs ON clean = term WHERE length(clean) >= 3 UNION SELECT doc_id, term FROM new WHERE term IS NOT NULL"
+    if several:
+        two = _lcs_sql("twos").replace("folded", "foldeds").replace("lcs", "lcss")
+        parts += [f"grams AS (SELECT doc_id, unnest(g) AS g FROM (SELECT doc_id{grams}))", f"twos AS (SELECT DISTINCT g AS a, term AS b FROM grams, drugs WHERE contains(term, ' ') AND 200 * least(length(g), length(term)) >= 85 * (length(g) + length(term)))", two]
+        found += " UNION SELECT doc_id, b FROM grams JOIN lcss ON g = a WHERE 200 * n >= 85 * (length(a) + length(b))"
+    parts.append(f"""found AS (SELECT doc_id, string_agg(term, '|' ORDER BY term) AS matched FROM ({found}) GROUP BY doc_id),
+ out AS (SELECT doc_id, t AS text, coalesce(c, '') AS corrections, coalesce(matched, '') AS matched FROM (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t,
+ string_agg(old || '>' || word || ':{kind}:' || score, '; ' ORDER BY pos) FILTER (WHERE term IS NOT NULL) AS c FROM new GROUP BY doc_id) LEFT JOIN found USING (doc_id))""")
+    sql = _renamed(", ".join(parts), ending, ["words", "drugs", "pairs", "folded", "lcs", "near", "new", "grams", "twos", "foldeds", "lcss", "found", "out"])
+    return re.sub(r"\bnotes\b", source, sql)
+
+
+@query(f"""{_RECURSIVE}, {_stage_sql('notes', '_a', DRUGS, 'drug')}, {_stage_sql('out_a', '_b', DISEASES, 'disease')}
+ SELECT doc_id, b.text AS corrected_text, concat_ws('; ', nullif(a.corrections, ''), nullif(b.corrections, '')) AS corrections, a.matched AS matched_drugs, b.matched AS matched_diseases FROM out_a a JOIN out_b b USING (doc_id)""")
 def correction_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.cascade(notes(spark, sf_dir), of_terms(spark, DRUGS), of_terms(spark, DISEASES), "doc_id")
+    out = lexicon.cascade(notes(spark, sf_dir), of_terms(spark, DRUGS), of_terms(spark, DISEASES), "doc_id")
+    listed_ = F.array_join(F.transform("corrections", lambda c: F.concat(c["from"], F.lit(">"), c["to"], F.lit(":"), c["type"], F.lit(":"), c["score"].cast("string"))), "; ")
+    return out.select("doc_id", "corrected_text", listed_.alias("corrections"), F.array_join("matched_drugs", "|").alias("matched_drugs"), F.array_join("matched_diseases", "|").alias("matched_diseases"))
 
 
 @query(f"{NOTES} SELECT doc_id, array_to_string(list_filter({listed(sorted(DRUGS + DISEASES))}, lambda t: contains(lower(text), t)), '|') AS terms FROM notes")
@@ -362,10 +398,22 @@ def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "raw_word", F.round("mean_confidence", 6).alias("mean_confidence"), "min_confidence", F.round("score", 6).alias("score"))
 
 
-@query()
+_TERMS = "terms AS (SELECT upper(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS term, max(p) AS prime FROM (" + " UNION ALL ".join(f"SELECT unnest({listed(ts)}) AS t, {p} AS p" for ts, p in ((DRUGS, 1), (DISEASES + ENGLISH, 0))) + ") GROUP BY 1)"
+_NEAREST = lambda some: f"""(SELECT w, term, d, prime FROM (SELECT w, term, prime, levenshtein(w, term) AS d, row_number() OVER (PARTITION BY w ORDER BY levenshtein(w, term), term) AS k FROM (SELECT DISTINCT raw_word AS w FROM raw) JOIN terms
+ ON abs(length(w) - length(term)) <= 1 AND w[1:1] = term[1:1] AND length(w) >= 2 AND length(term) >= 2 WHERE levenshtein(w, term) <= 2 AND {some}) WHERE k = 1)"""
+
+
+@query(f"""WITH c AS (SELECT doc_id, i, substring(w, i, 1) AS ch, ({_PLACE})::DOUBLE AS p, ({_OTHER})::DOUBLE AS q FROM (SELECT doc_id, w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT o_orderkey AS doc_id, {_SOURCE_WORD.replace('doc_id', 'o_orderkey')} AS w FROM orders))),
+ raw AS (SELECT doc_id, string_agg(CASE WHEN q > p THEN 'Q' ELSE ch END, '' ORDER BY i) AS raw_word, avg(greatest(p, q)) AS m, min(greatest(p, q)) AS l FROM c GROUP BY doc_id), {_TERMS},
+ x AS (SELECT doc_id, raw_word, k.term IS NOT NULL AS known, coalesce(k.prime, 0) AS known_prime, n.term AS near, n.d AS near_d, n.prime AS near_prime, f.term AS first, f.d AS first_d, (m <= 0.80 + 1e-12 OR l <= 0.60) AS low, l
+ FROM raw LEFT JOIN terms k ON raw_word = k.term LEFT JOIN {_NEAREST('TRUE')} n ON n.w = raw_word LEFT JOIN {_NEAREST('prime = 1')} f ON f.w = raw_word),
+ y AS (SELECT *, known AND known_prime = 0 AND first IS NOT NULL AND first_d <= 1 AND low AS o, NOT known AND near IS NOT NULL AND CASE WHEN near_prime = 1 THEN low ELSE near_d <= 1 AND l <= 0.45 END AS r FROM x)
+ SELECT doc_id, raw_word, CASE WHEN o THEN first WHEN r THEN near ELSE raw_word END AS decoded_word, CASE WHEN o THEN first WHEN known THEN raw_word ELSE near END AS lexicon_word,
+ coalesce(CASE WHEN o THEN first_d WHEN known THEN 0 ELSE near_d END, -1)::INT AS distance, coalesce(o OR r, FALSE) AS replacement_applied,
+ CASE WHEN o THEN 'low-confidence-primary-fallback' WHEN r THEN 'low-confidence-lexicon-fallback' WHEN NOT known AND near IS NOT NULL THEN 'high-confidence-kept-raw' END AS replacement_reason FROM y""")
 def decode_with_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([(t, t in DRUGS) for t in DRUGS + DISEASES + ENGLISH], "term string, is_primary boolean")
-    return decode.decoded(candidates(spark, sf_dir), terms).drop("candidates")
+    return decode.decoded(candidates(spark, sf_dir), terms).select("doc_id", "raw_word", "decoded_word", "lexicon_word", F.coalesce("distance", F.lit(-1)).alias("distance"), "replacement_applied", "replacement_reason")
 
 
 _UPPER = listed(sorted({"".join(c for c in t.upper() if c.isalpha()) for t in DRUGS + DISEASES}))
@@ -440,10 +488,24 @@ def cer_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kind", F.round("mean_cer", 9).alias("mean_cer"), "documents")
 
 
-@query()
+def _named_sql(name: str, value: str) -> str:
+    return f"CASE WHEN coalesce({value}, '') <> '' THEN '{name}:' || ({value}) END"
+
+
+_SCALARS = {
+    "patient_name": _STRIP(_x(E.PATIENT)), "age": _x(E.AGE), "gender": f"CASE upper({_x(E.GENDER)}) WHEN 'MALE' THEN 'Male' WHEN 'M' THEN 'Male' WHEN 'FEMALE' THEN 'Female' WHEN 'F' THEN 'Female' END", "date": _x(E.DATE),
+    "doctor_name": f"CASE WHEN starts_with(lower({_DOCTOR}), 'dr') THEN {_DOCTOR} ELSE 'Dr. ' || {_DOCTOR} END", "hospital": _STRIP(_x(E.HOSPITAL)),
+    "vitals.bp": f"replace({_x(E.BP)}, ' ', '')", "vitals.temp": f"replace({_x(E.TEMP)}, ' ', '')", "vitals.pulse": _x(E.PULSE),
+}
+_FLAT = f"""list_distinct(list_filter(list_concat([{', '.join(_named_sql(k, v) for k, v in _SCALARS.items())}], list_concat(list_transform({_diagnosis_sql()}, lambda x: 'diagnosis:' || x), list_concat(list_transform({_block_lines(E.INSTRUCTIONS)}, lambda x: 'instructions:' || x),
+ list_concat(list_transform({_MEDICINE_LINE}, lambda x: 'medicines.name:' || x.name), list_concat(list_transform({_MEDICINE_LINE}, lambda x: 'medicines.dosage:' || x.dosage), list_transform({_MEDICINE_LINE}, lambda x: 'medicines.frequency:' || x.frequency)))))), lambda x: x IS NOT NULL))"""
+
+
+@query(f"""{NOTES}, truth AS ({rendered(False)}), p AS (SELECT doc_id, kind, {_FLAT} AS p FROM notes), t AS (SELECT doc_id, {_FLAT} AS t FROM truth)
+ SELECT kind, round(avg(len(list_intersect(t, p))::DOUBLE / greatest(len(t), 1)) * 100, 6) AS recall, count(*) AS documents FROM p JOIN t USING (doc_id) GROUP BY kind""")
 def entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _truth(spark, sf_dir).select("kind", metrics.flattened(E.record(F.col("truth"))).alias("t"), metrics.flattened(E.record(F.col("text"))).alias("p"))
-    return both.groupBy("kind").agg((F.avg(metrics.recall(F.col("t"), F.col("p"))) * 100).alias("recall"), F.count("*").alias("documents"))
+    return both.groupBy("kind").agg(F.round(F.avg(metrics.recall(F.col("t"), F.col("p"))) * 100, 6).alias("recall"), F.count("*").alias("documents"))
 
 
 @query()

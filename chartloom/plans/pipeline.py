@@ -5,23 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extract
+from ..functions import adapters, extract
 from ..functions.text import let
 from ..operators import classify, lexicon
 
 
-def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str = "text", strict: bool = False) -> DataFrame:
-    """docs with extracted_data: the regex record, completed by dictionary diseases and drugs. Blank texts have a null one."""
+def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str = "text", strict: bool = False, entities: str | None = None) -> DataFrame:
+    """docs with extracted_data: the regex record, completed by named entities and dictionary terms. Blank texts have a
+    null one.
+
+    entities names a column of (label, entity) from a plug-in: DATE, ORG and PERSON fill what the patterns left empty,
+    DISEASE comes before the dictionary's diseases. CHEMICAL and ENTITY stand with the dictionary's drugs as a set,
+    the drugs first; a name that is no drug is kept only with a dosage nearby.
+    """
     t = F.col(text)
+    tags = F.coalesce(F.col(entities), F.array().cast("array<struct<label:string,entity:string>>")) if entities else F.array().cast("array<struct<label:string,entity:string>>")
 
     def completed(x: Column) -> Column:
-        names = F.transform(x["r"]["medicines"], lambda m: m["name"])
-        added = F.transform(lexicon.new_medicines(names, x["drugs"]), lambda d: F.struct(F.initcap(d).alias("name"), extract.near_mention(t, d).alias("n")))
+        r, names = x["r"], F.transform(x["r"]["medicines"], lambda m: m["name"])
+        found = lexicon.new_medicines(names, F.array_union(x["drugs"], adapters.chemicals(x["tags"])))
+        added = F.transform(found, lambda d: F.struct(F.initcap(d).alias("name"), extract.near_mention(t, d).alias("n"), F.lower(d).alias("d")))
+        added = F.filter(added, lambda m: m["n"]["dosage"].isNotNull() | F.array_contains(x["drugs"], m["d"]))
         added = F.transform(added, lambda m: F.struct(m["name"].alias("name"), m["n"]["dosage"].alias("dosage"), m["n"]["frequency"].alias("frequency")))
-        whole = x["r"].withField("diagnosis", lexicon.merged_diagnoses(x["r"]["diagnosis"], x["diseases"])).withField("medicines", F.concat(x["r"]["medicines"], added))
-        return F.when(x["r"].isNotNull(), whole)
-
-    parts = F.struct(extract.record(t, strict).alias("r"), lexicon.found_terms(t, drugs).alias("drugs"), lexicon.found_terms(t, diseases).alias("diseases"))
+        filled = lambda c, label: F.coalesce(F.nullif(c, F.lit("")), F.get(adapters.labelled(x["tags"], label), F.lit(0)), c)
+        roles = adapters.persons_resolved(r["doctor_name"], r["patient_name"], adapters.labelled(x["tags"], "PERSON"))
+        ill = lexicon.merged_diagnoses(lexicon.merged_diagnoses(r["diagnosis"], adapters.labelled(x["tags"], "DISEASE")), x["diseases"])
+        whole = r.withField("diagnosis", ill).withField("medicines", F.concat(r["medicines"], added)).withField("date", filled(r["date"], "DATE")).withField("hospital", filled(r["hospital"], "ORG"))
+        whole = let(roles, lambda p: whole.withField("doctor_name", p["doctor_name"]).withField("patient_name", p["patient_name"])) if entities else whole
+        return F.when(r.isNotNull(), whole)
+
+    parts = F.struct(extract.record(t, strict).alias("r"), lexicon.found_terms(t, drugs).alias("drugs"), lexicon.found_terms(t, diseases).alias("diseases"), tags.alias("tags"))
     return docs.withColumn("extracted_data", let(parts, completed))
 
 

@@ -49,13 +49,17 @@ def from_file(spark: SparkSession, path: str | None, fallback: list[str], alpha:
     """
     if path is None:
         return of_terms(spark, fallback)
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "term"))
-    terms = lines.select(F.lower(F.trim("term")).alias("term"), "ord").where(F.length("term").between(*lengths))
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
+    terms = of_lines(lines, alpha, lengths, most)
+    return of_terms(spark, fallback) if terms.isEmpty() else terms
+
+
+def of_lines(lines: DataFrame, alpha: bool = False, lengths: tuple[int, int] = (2, 1 << 30), most: int | None = None) -> DataFrame:
+    """(term, ord) of lines (ord, line): stripped, lower-cased, of a length within bounds; see from_file."""
+    terms = lines.select(F.lower(F.trim("line")).alias("term"), "ord").where(F.length("term").between(*lengths))
     if alpha:
         terms = terms.where(F.col("term").rlike("^[a-z]+$"))
-    if most is not None:
-        terms = terms.orderBy("ord").limit(most)
-    return of_terms(spark, fallback) if terms.isEmpty() else terms
+    return terms if most is None else terms.orderBy("ord").limit(most)
 
 
 def union(*lexicons: DataFrame) -> DataFrame:
