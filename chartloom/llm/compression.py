@@ -55,9 +55,11 @@ class Bands:
     repeat_percent: int = 50
 
 
+#: The place of kept in OUTPUT.
+KEPT = 6
 OUTPUT = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "zstd_ratio double, n_chunks long, n_bad_chunks long, kept boolean"
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
+    "zstd_ratio double, n_chunks long, n_bad_chunks long"
 )
 
 
@@ -101,7 +103,7 @@ def measures(data: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tup
     kept = not base_failed and low <= ratio <= high and bad_bytes <= bands.bad_chunks * len(data)
     spaces = sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(data.count(c) for c in SYMBOLS)
-    return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), n_repeat, base_failed, ratio, n_chunks, bad, kept
+    return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), n_repeat, base_failed, kept, ratio, n_chunks, bad
 
 
 def compression_bands(docs: DataFrame, bands: Bands = Bands(), text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -119,7 +121,7 @@ def compression_bands(docs: DataFrame, bands: Bands = Bands(), text: str = "text
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             found = [measures(x, bands, packer) for x in raw(batch.column(0))]
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64(), pa.int64(), pa.int64()]
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*keep, *names])
 
@@ -139,6 +141,6 @@ def kept_documents(docs: DataFrame, bands: Bands = Bands(), text: str = "text")
     def keep(batches):
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            yield batch.filter(pa.array([measures(x, bands, packer)[-1] for x in raw(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([measures(x, bands, packer)[KEPT] for x in raw(batch.column(at))], pa.bool_()))
 
     return text_batches(docs).mapInArrow(lean(keep), docs.schema)

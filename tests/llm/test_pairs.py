@@ -300,6 +300,40 @@ def test_url_trees_learn(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in out) >= 58
 
 
+def test_copies_of_one_url_change_no_verdict(spark):
+    clean = [(k, f"http://x{k % 7}.com/{'en' if k % 2 else 'fr'}/{k}") for k in range(600)] + [(600 + k, f"http://y.net/de/{k}") for k in range(50)]
+    pages = spark.createDataFrame(clean, "page_id long, url string")
+    copies = spark.range(20_001).select((F.col("id") + 10_000).alias("page_id"), F.lit("http://z.net/de/1").alias("url"))
+    one = spark.createDataFrame([(9999, "http://z.net/de/1")], pages.schema)
+    few = {r.page_id: (r.verdict, round(r.score, 9)) for r in urls.judged(pages.union(one), queries.URL_RULES).collect()}
+    many = {r.page_id: (r.verdict, round(r.score, 9)) for r in urls.judged(pages.union(copies), queries.URL_RULES).where("page_id < 9999").collect()}
+    assert many == {k: v for k, v in few.items() if k < 9999}
+    assert few[2][0] == "block" or few[2][1] < 0.5
+
+
+def test_suffixes_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"http://h.{s}/{k}", f"h.{s}", f"/{k}", int(s in "ac")) for s in "abcdef" for k in range(ord(s) % 5 + 3)], "url string, host string, path string, blocked int")
+    wanted = sorted(tuple(r) for r in urls.scored(rows, urls.train(rows), ["url"]).collect())
+    monkeypatch.setattr(urls, "SUFFIXES", 2)
+    assert sorted(tuple(r) for r in urls.scored(rows, urls.train(rows), ["url"]).collect()) == wanted
+    totals = urls.train(rows).suffixes
+    some = {r.s: (r.n, r.all_blocked) for r in urls.with_statistics(spark.createDataFrame([("a",), ("d",), ("zz",), ("",)], "suffix string").withColumn("s", F.col("suffix")), totals).collect()}
+    assert some == {"a": (5.0, 5.0), "d": (3.0, 0.0), "zz": (None, None), "": (None, None)}
+
+
+def test_suffixes(spark):
+    hosts = ["a.com:8080", "u:p@b.org", "c", "", "d.e.net", "1.2.3.4:80"]
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select(urls.suffix_of(F.col("h")).alias("s")).collect()
+    assert [r.s for r in got] == ["com", "org", "c", "", "net", "4"]
+
+
+def test_held_out_error_of_urls(spark):
+    rnd = random.Random(2)
+    rows = [(f"http://{rnd.randrange(10**9)}.biz/{k}?a=1&b={k}", 1) for k in range(200)] + [(f"http://news{k}.org/about/{k}", 0) for k in range(200)]
+    labelled = spark.createDataFrame(rows, "url string, blocked int").withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    assert urls.held_out_error(labelled) < 0.03
+
+
 def test_trees_fit_a_step():
     x = np.random.default_rng(0).random((400, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)

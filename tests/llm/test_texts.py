@@ -89,7 +89,7 @@ def test_production_bands_reject_encoded_and_random_text(size):
         junk += [base64.encodebytes(rnd.randbytes(size))[:size], words(string.ascii_lowercase)]
     packer = zstandard.ZstdCompressor(level=compression.Bands().level)
     found = [compression.measures(x, compression.Bands(), packer) for x in junk]
-    assert not any(x[5] for x in found) and not any(x[-1] for x in found)
+    assert not any(x[5] for x in found) and not any(x[compression.KEPT] for x in found)
 
 
 @pytest.mark.parametrize("chunks, size", [(1, 1500), (1, 4090), (2, 2500), (2, 4090), (3, 4090)])
@@ -97,24 +97,24 @@ def test_the_rest_after_whole_chunks_is_judged(chunks, size):
     rnd, bands = random.Random(7), compression.Bands()
     packer = zstandard.ZstdCompressor(level=bands.level)
     long = [t.encode() for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where n_chars > 13000 order by doc_id").fetchall()]
-    clean = [t for t in long if compression.measures(t, bands, packer)[-1] and t.isascii()][:8]
+    clean = [t for t in long if compression.measures(t, bands, packer)[compression.KEPT] and t.isascii()][:8]
     assert len(clean) >= 5
     for t in clean:
         head = t[: chunks * bands.chunk_bytes]
         noise = bytes(rnd.choice(string.printable[:94].encode() + b"      ") for _ in range(size))
         phrase = (b"one long phrase again " * size)[:size]
         whole, rest = compression.measures(head, bands, packer), compression.measures(t[: len(head) + size], bands, packer)
-        assert whole[-1] and rest[-1] and (whole[7], rest[7], rest[8]) == (chunks, chunks + 1, 0)
+        assert whole[6] and rest[6] and (whole[8], rest[8], rest[9]) == (chunks, chunks + 1, 0)
         for junk in (noise, phrase):
             found = compression.measures(head + junk, bands, packer)
-            assert (found[7], found[8], found[-1]) == (chunks + 1, 1, False)
+            assert (found[8], found[9], found[6]) == (chunks + 1, 1, False)
 
 
 def test_production_bands_keep_clean_documents():
     rows = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' join '/root/testdata/sf0.01/labels.parquet' using (doc_id) where quality = 1").fetchall()
     packer = zstandard.ZstdCompressor(level=compression.Bands().level)
     found = [compression.measures(t.encode(), compression.Bands(), packer) for (t,) in rows]
-    assert len(found) > 300 and all(x[-1] or x[5] for x in found)
+    assert len(found) > 300 and all(x[6] or x[5] for x in found)
 
 
 @pytest.fixture(scope="module")
