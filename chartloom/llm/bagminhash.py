@@ -219,16 +219,22 @@ def likely(pairs: DataFrame, settings: Settings) -> DataFrame:
 def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     """Candidate pairs (a, b) of one bucket and different components, from (bucket, fp, component, n, sig, bands).
 
-    A bucket's members are dealt into blocks, and each two blocks (and each block with itself) meet in one group of
-    bounded size. Signatures are compared there; a pair is looked at in the first bucket it shares. In small buckets
-    the likely pairs are the result. Members of large ones bring their bags (as 32-bit hashes, which can only add to
+    Only members of different components need to meet. The members of a bucket's largest component are dealt into
+    blocks, and so are all others of the bucket; each block of the others meets each of the former, each of its own
+    kind, and itself, in groups of bounded size. So a large component with a few others beside it costs rows in
+    proportion to its members. Signatures are compared there; a pair is looked at in the first bucket it shares. In
+    small buckets the likely pairs are the result. Members of large ones bring their bags (as 32-bit hashes, which can only add to
     an overlap), so that overlaps are counted in place, and pairs whose components have met already are passed over;
     the result is then one pair for each two components that meet.
     """
     size, least, ratio = settings.bands * settings.rows, settings.agreement * settings.bands * settings.rows, settings.similarity
-    blocks = unsettled.groupBy("bucket").agg(F.count("*").alias("members"))
-    blocks = blocks.select("bucket", F.ceil(F.col("members") / settings.block).cast("int").alias("blocks"), (F.col("members") > settings.small).alias("large"))
-    placed = written(unsettled.join(blocks, "bucket"), "placed")
+    parts = unsettled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    blocks = parts.groupBy("bucket").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"))
+    others = F.greatest(F.lit(1), F.ceil((F.col("members") - F.col("most.n")) / settings.block)).cast("int")
+    blocks = blocks.select("bucket", F.col("most.component").alias("first"), F.ceil(F.col("most.n") / settings.block).cast("int").alias("of_first"), others.alias("of_others"), (F.col("members") > settings.small).alias("large"))
+    blocks = checked(written(blocks, "blocks"), settings.broadcast_rows)
+    placed = unsettled.join(blocks, "bucket").withColumn("is_first", F.col("component") == F.col("first")).drop("first")
+    placed = written(placed, "placed")
     wanted = written(placed.where("large").select("fp").distinct(), "large")
     bags = placed.select(F.lit(b"").alias("fp"), F.lit(b"").alias("bag")).limit(0)
     if not wanted.isEmpty():
@@ -243,8 +249,11 @@ def across(unsettled: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, te
         wanted = checked(wanted, settings.broadcast_rows)
         bags = sources(docs, nodes.join(wanted, "fp", "left_semi"), key, text, settings).mapInArrow(lean(bag_rows), "fp binary, bag binary")
         bags = written(bags.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "bags")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = placed.join(bags, "fp", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # blocks of the first component have numbers below 0
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("is_first"), F.col("of_first")).otherwise(F.col("of_others"))).cast("int")
+    to_first, to_others = (F.sequence(F.lit(0), F.col(n) - 1) for n in ("of_first", "of_others"))
+    met = F.when(F.col("is_first"), to_others).otherwise(F.concat(to_others, F.transform(to_first, lambda k: -k - 1)))
+    dealt = placed.join(bags, "fp", "left").withColumn("own", F.when(F.col("is_first"), -own - 1).otherwise(own)).withColumn("other", F.explode(met))
     dealt = dealt.select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"),
         "fp", "component", "n", "sig", "bands", F.when(F.col("large"), F.col("bag")).alias("bag"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -32,6 +32,10 @@ class Settings:
     #: Seeds, and rows of ids, that a broadcast may hold (24 bytes each or so); beyond that both sides are shuffled.
     broadcast_seeds: int = 1_000_000
     broadcast_rows: int = 500_000
+    #: Parts that each seed of a shuffled join is split into, so that a frequent one isn't one task's.
+    salts: int = 16
+    #: Hits, each with its item, that one row brings to a document, about.
+    row_hits: int = 512
 
 
 def token_hashes(text: Column) -> Column:
@@ -95,11 +99,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
     row = row_of(docs, key, text)
     hashed = docs.select(row.alias("doc"), token_hashes(F.col(f"`{text}`")).alias("h"))
     small = known.count() <= settings.broadcast_seeds
-    hits = seeded(hashed, "doc", "p", {m for n in lengths for m in masks_of(n, settings)}).join(F.broadcast(known) if small else known, "seed")
+    found = seeded(hashed, "doc", "p", {m for n in lengths for m in masks_of(n, settings)})
+    if small:
+        hits = found.join(F.broadcast(known), "seed")
+    else:
+        dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))))
+        hits = found.withColumn("salt", F.pmod(F.xxhash64("doc", "p"), F.lit(settings.salts)).cast("int")).join(dealt, ["seed", "salt"])
     hits = written(hits.select("doc", "item", (F.col("p") - F.col("q")).alias("shift")).distinct(), "hits")
-    placed = hits.join(F.broadcast(items) if small else items, hits["item"].eqNullSafe(items["item"])).select("doc", F.struct(hits["item"].alias("item"), "shift", "g").alias("c"))
-    # a row meets its hits once, with all of them; their number is bounded by its length and the benchmark's
-    placed = written(placed.groupBy("doc").agg(F.collect_list("c").alias("cs")), "placed")
+    # a document meets its hits in portions of bounded size
+    portions = F.ceil(F.count("*").over(Window.partitionBy("doc")) / settings.row_hits)
+    hits = hits.withColumn("portion", F.pmod(F.xxhash64("item", "shift"), portions))
+    placed = hits.join(F.broadcast(items) if small else items, hits["item"].eqNullSafe(items["item"])).select("doc", "portion", F.struct(hits["item"].alias("item"), "shift", "g").alias("c"))
+    placed = written(placed.groupBy("doc", "portion").agg(F.collect_list("c").alias("cs")), "placed")
     few = placed.count() <= settings.broadcast_rows
     wanted = placed.select(F.col("doc").alias("_doc"))
     source = docs.select(row.alias("doc"), F.col(f"`{text}`").alias("text"))

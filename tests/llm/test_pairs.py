@@ -1,8 +1,11 @@
 """Near-duplicates, seeds, fixity, licences and URLs against plain versions."""
 
+import decimal
+import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -81,6 +84,20 @@ def test_chains_in_large_buckets_stay_whole(spark):
     assert Counter(map(tuple, out.collect())) == Counter(wanted_classes(rows))
 
 
+def test_one_large_component_and_few_others_cost_rows_in_proportion(spark, monkeypatch):
+    """Members of the largest component don't meet one another again."""
+    groups = []
+    plain = bmh.text_batches
+    monkeypatch.setattr(bmh, "text_batches", lambda df: groups.append(df) or plain(df))
+    sig, fps = b"\0" * 200, [k.to_bytes(16, "big") for k in range(401)]
+    rows = [(1, fp, fps[0] if k < 400 else fp, 10, sig, list(range(20))) for k, fp in enumerate(fps)]
+    open_ = spark.createDataFrame(rows, "bucket long, fp binary, component binary, n long, sig binary, bands array<long>")
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    pairs = bmh.across(open_, docs, spark.createDataFrame([], "fp binary, key long"), "doc_id", "text", bmh.Settings(block=8, small=1000))
+    assert groups[-1].count() == 400 + 50 + 1  # once each, the other with each block and with itself
+    assert pairs.where("a = X'" + fps[400].hex() + "'").count() in (0, 400)
+
+
 def test_signatures_are_unbiased_for_weights():
     rnd = np.random.default_rng(3)
     element = rnd.integers(1, 1 << 60, 200).astype(np.uint64)
@@ -147,7 +164,7 @@ def test_seeds_bear_substitutions(spark, awkward, empty):
     fill = lambda n: [f"f{rnd.randrange(10**6)}" for _ in range(n)]
     rows = [(1, " ".join(fill(50) + passage + fill(9))), (2, " ".join(fill(5) + changed)), (3, " ".join(fill(200))), (4, ", ".join(passage).upper()), (5, None), (6, ""), (7, " ".join(passage[:7])), (None, " ".join(passage)), (1, " ".join(passage))]
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, item int, seed int")
-    bench = spark.createDataFrame([(10, " ".join(passage), "z"), (10, " ".join(passage), "z"), (11, "too short"), (12, None), (None, " ".join(passage))] if False else [(10, " ".join(passage), "z"), (10, " ".join(passage), "z"), (11, "too short", "z"), (12, None, "z"), (None, " ".join(passage), "z")], "item_id long, text string, h string")
+    bench = spark.createDataFrame([(10, " ".join(passage), "z"), (10, " ".join(passage), "z"), (11, "too short", "z"), (12, None, "z"), (None, " ".join(passage), "z")], "item_id long, text string, h string")
     got = Counter((r.doc_id, r.item_id) for r in spaced_seeds.contaminated(docs, bench).collect())
     assert got == Counter({(d, i): 1 for d in (1, 2, 4, None) for i in (10, None)})
     one = spaced_seeds.Settings(broadcast_seeds=0, broadcast_rows=0)
@@ -190,7 +207,7 @@ def test_no_overlap_is_missed(spark):
     frame = lambda rows, key: spark.createDataFrame([(k, " ".join(h)) for k, h in rows], f"{key} long, text string")
     wanted = every_overlap(docs, items)
     assert len(wanted) > 900 and len({i for _, i in wanted}) == 12
-    for s in (spaced_seeds.Settings(), spaced_seeds.Settings(broadcast_seeds=0, broadcast_rows=0)):
+    for s in (spaced_seeds.Settings(), spaced_seeds.Settings(broadcast_seeds=0, broadcast_rows=0, row_hits=2, salts=3)):
         got = spaced_seeds.contaminated(frame(docs, "doc_id"), frame(items, "item_id"), settings=s).collect()
         assert {(r.doc_id, r.item_id) for r in got} == wanted
 
@@ -200,40 +217,87 @@ def plain_record(key, url, body):
     return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{key}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
 def test_fixity_query(spark):
-    pages = duckdb.sql(f"select page_id, url, html from '{SF}/pages.parquet' order by 1").fetchall()
-    wanted, at = [], 0
-    for k, url, html in pages:
-        if k % 256 == 0:
-            at = 0
-        data, fault = plain_record(k, url, html), zlib.crc32(str(k).encode()) % 97
-        sha = hashlib.sha256(data).hexdigest()
-        other = None if fault == 11 else hashlib.sha256(plain_record(k, url, "!" + html)).hexdigest() if fault == 5 else sha
-        wanted.append((k, k // 256, at, len(data), sha, other, "missing" if other is None else "ok" if other == sha else "corrupt"))
-        at += len(data)
-    assert sorted(map(tuple, queries.op5_merkle_fixity(spark, SF).collect())) == wanted
-
-
-def test_fixity_edges(spark, tmp_path):
-    kind = "page_id long, url string, html string, node int"
-    a = spark.createDataFrame([(5000, "u", "x", 1), (7, None, None, 1), (7, "u", "y", 1), (None, "u", "z", 1), (None, "u", "z", 1), (-3, "u", "q", 1)], kind)
-    b = spark.createDataFrame([(5000, "u", "x", 1), (7, "u", "y", 1), (7, None, None, 1), (None, "u", "z", 1), (9, "u", "new", 1), (-3, "u", "Q", 1)], kind)
-    got = {r.page_id: r.status for r in fixity.audit(a, b).collect()}
-    assert got == {5000: "ok", 7: "ok", None: "corrupt", -3: "corrupt", 9: "extra"}
-    assert {r.status for r in fixity.audit(a, a.limit(0)).collect()} == {"missing"}
-    assert fixity.audit(a.limit(0), a.limit(0)).count() == 0
-    (tmp_path / "a.warc").write_bytes(b"".join(plain_record(k, f"u{k}", f"é{k}\r\n\r\n") for k in range(3)))
-    rows = fixity.warc_records(spark, str(tmp_path / "a.warc")).orderBy("start").collect()
-    assert [(r.uri, r.body) for r in rows] == [(f"u{k}", f"é{k}\r\n\r\n") for k in range(3)]
-    assert rows[1].sha256 == hashlib.sha256(plain_record(1, "u1", "é1\r\n\r\n")).hexdigest() and rows[1].start == rows[0].length
-
-
-def test_descent_reads_only_mismatching_branches(spark):
-    rows = [(k, k, k + 1, str(k)) for k in range(300)]
-    kind = "node long, start long, end long, digest string"
-    a, b = fixity.grown(spark.createDataFrame(rows, kind), 299, name="a"), fixity.grown(spark.createDataFrame(rows[:200] + [(200, 200, 201, "bad")] + rows[201:], kind), 299, name="b")
-    assert [x.count() for x in a.levels] == [300, 19, 2, 1]
-    assert [tuple(r) for r in fixity.mismatches(a, b).collect()] == [(200, "200", "bad")]
+    pages = duckdb.sql(f"select page_id, url, html from '{SF}/pages.parquet'").fetchall()
+    files, right = {}, {}
+    rows = {r.page_id: r for r in queries.op5_merkle_fixity(spark, SF).collect()}
+    assert rows.keys() == {k for k, _, _ in pages}
+    for k, u, h in sorted(pages):
+        fault = zlib.crc32(str(k).encode()) % 97
+        record = plain_record(k, u, h)
+        other = None if fault == 11 else plain_record(k, u, "!" + (h or "")) if fault == 5 else record
+        r, f = rows[k], rows[k].warc_file
+        start, there = files.get(f, 0), right.get(f, 0)
+        files[f] = start + len(record)
+        right[f] = there + len(other or b"")
+        status = "missing" if other is None else "corrupt" if other != record else "moved" if start != there else "ok"
+        assert tuple(r)[2:] == (start, len(record), sha(record), other and sha(other), None if other is None else there, status)
+    assert {"missing", "corrupt", "ok"} <= {r.status for r in rows.values()}
+
+
+def test_fixity_edges(spark):
+    schema = "page_id {}, url string, html string, status int"
+    left = [(5, "u", "a", 1), (5, "u", "b", 1), (None, None, None, 1), (7, "u", "x" * 100_000, 1), (2**62, "u", "", 1), (-(2**62), "u", "c", 1)]
+    right = [(5, "u", "b", 1), (5, "u", "a", 1), (None, None, None, 1), (None, None, None, 1), (7, "u", "x" * 99_999 + "y", 1), (9, "u", "new", 1), (2**62, "u", "", 1)]
+    for kind, name in (("long", lambda k: k), ("string", lambda k: k if k is None else f"key/{k}"), ("decimal(30,2)", lambda k: k if k is None else decimal.Decimal(k))):
+        a, b = (spark.createDataFrame([(name(k), *r) for k, *r in side], schema.format(kind)) for side in (left, right))
+        got = {None if r.page_id is None else str(r.page_id): r.status for r in fixity.audit(a, b).collect()}
+        text = lambda k: None if k is None else f"{k}.00" if kind.startswith("dec") else str(name(k))
+        settled = {k: v for k, v in got.items() if k not in (text(5), text(2**62))}
+        assert settled == {None: "corrupt", text(7): "corrupt", text(9): "extra", text(-(2**62)): "missing"}
+        assert {got[text(k)] for k in (5, 2**62)} <= {"ok", "moved"}
+        assert fixity.audit(a.limit(0), a.limit(0)).count() == 0
+        assert {r.status for r in fixity.audit(a.limit(0), b).collect()} == {"extra"}
+        assert {r.status for r in fixity.audit(a, a).collect()} == {"ok"}
+
+
+def warc(key, body, head=b"", **change):
+    lines = {"WARC-Type": "resource", "WARC-Record-ID": f"<urn:{key}>", "Content-Length": str(len(body))} | change
+    return b"WARC/1.1\r\n" + head + "".join(f"{k}: {v}\r\n" for k, v in lines.items() if v is not None).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+
+def test_warc_files(spark, tmp_path):
+    whole = [warc(1, b"one\r\n\r\nWARC/1.0 inside"), b"WARC/1.0\r\nwarc-record-id:<urn:2>\r\nCONTENT-LENGTH:3\r\nwarc-target-uri: http://a\r\n\r\ntwo\r\n\r\n", warc(3, b"three", **{"Content-Length": "x"}), warc(4, b"", **{"WARC-Record-ID": None}), warc(5, b"5" * 70_000)]
+    for folder in ("a", "b"):
+        os.makedirs(f"{tmp_path}/{folder}/deep")
+    open(f"{tmp_path}/a/deep/x.warc", "wb").write(b"".join(whole) + warc(6, b"cut short")[:-9])
+    packed = [gzip.compress(r, mtime=0) for r in whole]
+    open(f"{tmp_path}/a/y.warc.gz", "wb").write(b"".join(packed) + packed[0][:20])
+    open(f"{tmp_path}/a/z.warc", "wb").write(b"junk\r\n\r\n" + whole[0])
+    open(f"{tmp_path}/a/empty.warc", "wb").write(b"")
+    rows = sorted((r.file, r.start, r.length, r.sha256, r.id, r.state) for r in fixity.warc_records(spark, f"{tmp_path}/a").collect())
+    ids, states = ["<urn:1>", "<urn:2>", "<urn:3>", None, "<urn:5>"], ["ok", "ok", "malformed", "ok", "ok"]
+    wanted = []
+    for name, parts, last in (("deep/x.warc", whole, (warc(6, b"cut short")[:-9], "<urn:6>")), ("y.warc.gz", packed, (packed[0][:20], None))):
+        at = 0
+        for part, key, state in zip([*parts, last[0]], [*ids, last[1]], [*states, "truncated"]):
+            wanted.append((name, at, len(part), sha(part), key or f"@{at}", state))
+            at += len(part)
+    wanted += [("z.warc", 0, 8, sha(b"junk\r\n\r\n"), "@0", "malformed"), ("z.warc", 8, len(whole[0]), sha(whole[0]), "<urn:1>", "ok")]
+    assert rows == sorted(wanted)
+    # the replica has lost record 2 and has another byte in record 5 of one file; the other files are as they were
+    changed = [whole[0], *whole[2:4], whole[4].replace(b"55\r\n", b"56\r\n")]
+    open(f"{tmp_path}/b/deep/x.warc", "wb").write(b"".join(changed) + warc(6, b"cut short")[:-9])
+    for name in ("y.warc.gz", "z.warc", "empty.warc"):
+        open(f"{tmp_path}/b/{name}", "wb").write(open(f"{tmp_path}/a/{name}", "rb").read())
+    out = fixity.audit_files(spark, f"{tmp_path}/a", f"{tmp_path}/b").collect()
+    got = {(r.file, r.id): r.status for r in out if r.status != "ok"}
+    no_id = sum(map(len, whole[:3]))
+    assert got == {("deep/x.warc", "<urn:2>"): "missing", ("deep/x.warc", "<urn:3>"): "moved", ("deep/x.warc", "<urn:5>"): "corrupt", ("deep/x.warc", "<urn:6>"): "moved", ("deep/x.warc", f"@{no_id}"): "missing", ("deep/x.warc", f"@{no_id - len(whole[1])}"): "extra"}
+    assert len(out) == len(wanted) + 1 and {r.status for r in fixity.audit_files(spark, f"{tmp_path}/a", f"{tmp_path}/a").collect()} == {"ok"}
+
+
+def test_descent_follows_only_mismatching_branches(spark):
+    leaves = spark.range(4096).select((F.col("id") % 4).alias("file"), F.floor(F.col("id") / 4).alias("node"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    other = leaves.withColumn("digest", F.when((F.col("file") == 2) & F.col("node").isin(3, 700), F.lit("bad")).otherwise(F.col("digest")))
+    a, b = fixity.grown(leaves, 1023, 16, "a"), fixity.grown(other, 1023, 16, "b")
+    assert [t.count() for t in a.levels] == [4096, 256, 16, 4]
+    assert sorted(tuple(r) for r in fixity.mismatches(a, b).collect()) == [(2, 3), (2, 700)]
+    assert fixity.mismatches(a, a).count() == 0
 
 
 def test_licences(spark, empty):
