@@ -1,7 +1,7 @@
 """Licence scan with DataFrame functions only: TF-IDF cosine to templates, then inheritance from directories.
 
-Passages are lines that speak of licences (headers, notices) and the whole text of licence files. Distinct passages
-are scored once. A file takes the licence of its best passage; one without takes that of the nearest directory above
+Passages are lines that speak of licences (headers, notices), each such line with the short lines after it, as notices
+and titles are wrapped, and the whole text of licence files. Distinct passages are scored once. A file takes the licence of its best passage; one without takes that of the nearest directory above
 it that has a licence file.
 """
 
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CUE = r"(?i)licen[sc]e|copyright|spdx|creative commons|public domain|free software|hereby granted|redistribution and use"
+CUE = r"(?i)licen[sc]e|copyright|spdx|creative commons|public domain|free software|hereby granted|redistribution and use|cc0|permission to use"
+#: A passage goes on over so many lines, up to one without words or longer than this.
+BLOCK_LINES, BLOCK_CHARS = 8, 100
 #: Openings of public licence texts and of the notices that name them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -27,6 +29,31 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MIT", "The MIT License (MIT)"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Artistic-1.0", "The Artistic License"),
+    ("BSD-2-Clause", "The BSD 2-Clause License"),
+    ("BSD-3-Clause", "The BSD 3-Clause License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work: dedicated to the public domain, CC0 1.0 Universal."),
 )
 
@@ -44,6 +71,25 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^a-z0-9.+-]+|[.]+(?![a-z0-9])"), "")
 
 
+def passages_of(body: Column, is_file: Column) -> Column:
+    """The distinct passages of a text, in the order of its lines; see above."""
+
+    def of(lines: Column) -> Column:
+        cues = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(CUE))
+
+        def block(x: Column) -> Column:
+            after = F.slice(lines, x["i"] + 2, BLOCK_LINES - 1)
+            ends = F.array_position(F.transform(after, lambda y: ~y.rlike(r"[\p{L}\p{N}]") | (F.length(y) > BLOCK_CHARS)), True)
+            more = F.slice(after, 1, F.when(ends == 0, F.size(after)).otherwise(ends - 1).cast("int"))
+            return F.when(F.length(x["line"]) > BLOCK_CHARS, x["line"]).otherwise(F.array_join(F.concat(F.array(x["line"]), more), " "))
+
+        title = F.slice(F.filter(lines, lambda y: y.rlike(r"[\p{L}\p{N}]")), 1, 2)
+        whole = F.when(is_file & (F.trim(body) != ""), F.array(body, F.array_join(title, " "))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.transform(F.concat(F.transform(cues, lambda x: x["line"]), F.transform(cues, block), whole), lambda y: F.trim(y)))
+
+    return F.get(F.transform(F.array(F.split(body, "\n")), of), F.lit(0))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
@@ -89,8 +135,7 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text", key: str |
     is_file = F.coalesce(F.col(f"`{path}`").rlike(settings.licence_file) if licence_file is None else licence_file, F.lit(False))
     name, body = F.coalesce(F.col(f"`{path}`"), F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = [F.col(f"`{key}`").alias("_key")] if key else []
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(CUE))
-    found = F.array_distinct(F.transform(F.concat(lines, F.when(is_file & (F.trim(body) != ""), F.array(body)).otherwise(F.array().cast("array<string>"))), lambda x: F.trim(x)))
+    found = passages_of(body, is_file)
     rows = written(files.select(*kept, F.col(f"`{path}`").alias("_path"), F.when(name.contains("/"), F.regexp_replace(name, "/[^/]*$", "")).otherwise("").alias("_folder"), is_file.alias("_is_file"), found.alias("_passages")), "passages")
     each = rows.select(F.explode("_passages").alias("passage")).select(F.md5("passage").alias("id"), "passage")
     passages = written(each.groupBy("id").agg(F.first("passage").alias("passage"), F.count("*").alias("n")), "distinct")

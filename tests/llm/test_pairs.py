@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -317,6 +318,46 @@ def test_licences(spark, empty):
     assert Counter((r.path, r.own_licence, r.licence, r.inherited_from, r.distance) for r in licenses.scanned(df, settings=one).collect()) == got
 
 
+FULL = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FULL), reason="no licence texts here")
+def test_full_licence_texts(spark):
+    wanted = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+    texts = {n: open(f"{FULL}/{n}").read() for n in wanted if os.path.exists(f"{FULL}/{n}")}
+    df = spark.createDataFrame([(f"{n}/LICENSE", t) for n, t in texts.items()] + [(f"{n}/src/main.c", "int main") for n in texts], "path string, text string")
+    got = {r.path: r.licence for r in licenses.scanned(df).collect()}
+    assert got == {f"{n}/{f}": wanted[n] for n in texts for f in ("LICENSE", "src/main.c")}
+
+
+def test_wrapped_headers(spark):
+    note = dict((n, t) for n, t in reversed(licenses.TEMPLATES))
+    wrap = lambda t, sign: "\n".join(f"{sign} {x}" for x in textwrap.wrap(t, 60))
+    files = [("a.py", "import os\n" + wrap(note["LGPL-2.1"], "#") + "\n"), ("b.c", "/*\n" + wrap(licenses.TEMPLATES[5][1], " *") + "\n */\nint x;"), ("c.sh", wrap(note["ISC"], "#") + "\n#\n# other words"), ("d.txt", "see the license of the thing\nand much else")]
+    got = {r.path: r.own_licence for r in licenses.scanned(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a.py": "LGPL-2.1", "b.c": "GPL-3.0", "c.sh": "ISC", "d.txt": None}
+
+
+def test_licence_query_of_the_whole_table(spark):
+    """Against a plain version of lines, folders and inheritance; the four notices of the table are told by their words."""
+    rows = duckdb.sql(f"select doc_id, text, lang, source from '{SF}/documents.parquet'").fetchall()
+    names = {"GNU General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0"}
+    own, given, folder = {}, {}, {}
+    for k, text, lang, source in rows:
+        lines = [x for x in (text or "").split("\n") if re.search(licenses.CUE, x)]
+        own[k] = {v for x in lines for n, v in names.items() if n in x}
+        folder[k] = (source or "none", lang or "none", str(k // 1000))
+        if own[k] and re.search(licenses.CUE, (text or "").split("\n")[0]):
+            given.setdefault(folder[k], set()).update(own[k])
+    got = queries.op6_license_scan(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(own) and len(got) == len(rows)
+    for r in got:
+        if own[r.doc_id]:
+            assert r.own_licence in own[r.doc_id] and r.licence == r.own_licence and r.distance is None
+        else:
+            assert r.own_licence is None and ((r.licence in given[folder[r.doc_id]] and r.distance == 0) if folder[r.doc_id] in given else r.licence is None)
+
+
 def test_licence_scores(spark):
     """Cosines by a plain computation over the same passages."""
     lines = ["Licensed under the Apache License, Version 2.0.", "copyright of no one", "Released under the MIT License, more or less."]
