@@ -87,7 +87,8 @@ def passages_of(body: Column, is_file: Column) -> Column:
         whole = F.when(is_file & (F.trim(body) != ""), F.array(body, F.array_join(title, " "))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.transform(F.concat(F.transform(cues, lambda x: x["line"]), F.transform(cues, block), whole), lambda y: F.trim(y)))
 
-    return F.get(F.transform(F.array(F.split(body, "\n")), of), F.lit(0))
+    # most texts say nothing of licences and are not split
+    return F.when(is_file | body.rlike(CUE), F.get(F.transform(F.array(F.split(body, "\n")), of), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
