@@ -24,7 +24,8 @@ _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 @dataclass(frozen=True)
 class Settings:
     centroids: int = 4
-    #: Labelled rows that centroids are fitted on: so many a language, and so many in all, at most about (a hash of the key decides).
+    #: Labelled rows that centroids are fitted on: so many a language, and so many in all, about (a hash of key and text
+    #: decides, so rows that repeat both come together); each language has twice its centroids in any case.
     per_language: int = 500
     rows: int = 4000
     rounds: int = 8
@@ -72,7 +73,7 @@ class Model:
         best = cosine.argmax(1)
         for k, b, c in zip(lettered, best, cosine[np.arange(len(best)), best]):
             own = self.owner[b]
-            lang[k], score[k], out[k] = self.languages[own], min(1.0, max(0.0, float(c))), bool(c < self.limit[own] * min(1.0, len(all_texts[k]) / self.full_bytes))
+            lang[k], score[k], out[k] = self.languages[own], min(1.0, max(0.0, float(c))), bool(c < self.limit[own] * min(1.0, len(all_texts[k].encode("utf-8", "replace")) / self.full_bytes))
         return lang, score, out
 
 
