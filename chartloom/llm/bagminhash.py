@@ -153,7 +153,7 @@ def signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFram
             )
 
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return text_batches(source).mapInArrow(lean(run), f"key {source.schema[0].dataType.simpleString()}, fp binary, n long, bands array<long>, sig binary")
+    return text_batches(source).mapInArrow(lean(run, 128), f"key {source.schema[0].dataType.simpleString()}, fp binary, n long, bands array<long>, sig binary")
 
 
 def overlap_of_sorted(x: np.ndarray, y: np.ndarray) -> float:
