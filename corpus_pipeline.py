@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of ids of each document, and digests of the ids and the decoded text."""
-    return bpe.round_trip(docs, public_tokenizers.path(BPE_FILE))
+    return bpe.round_trip(docs, public_tokenizers.path(BPE_FILE)).drop("n_joins")
 
 
 STAGES = [("quality rules", quality), ("language id", language), ("minhash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("bpe encoding", encoding)]
