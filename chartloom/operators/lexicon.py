@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import close_match, lcs, may_reach, reaches
+from . import rows
 
 THRESHOLD = 85
 #: Rows of a lexicon, or of what was found in it, that a broadcast may hold; beyond that they are shuffled.
@@ -155,8 +156,42 @@ def corrected(docs: DataFrame, lexicon: DataFrame, key: str, kind: str, text: st
     return out.select(*docs.columns, T.let(changes, lambda c: _rebuilt(F.col(text), c, keep_lines)).alias("corrected_text"), listed.alias("corrections"), matched.alias("matched"))
 
 
+def _stage(spelled: DataFrame, lexicon: DataFrame, kind: str, threshold: int) -> rows.Stage | None:
+    """What a lexicon says of spellings, in hand; None if that is too much to hold."""
+    terms = single(lexicon).where(F.length("term") >= 3).select(F.col("term").alias("clean"), "term", F.lit(None).cast("int").alias("score"))
+    known = terms.distinct().union(fuzzy(spelled, lexicon, threshold)).limit(BROADCAST_ROWS + 1).collect()
+    several = lexicon.where(F.col("term").contains(" ")).select("term", F.size(T.tokens(F.col("term"))).alias("n")).distinct().limit(IN_ROW + 1).collect()
+    if len(known) > BROADCAST_ROWS or len(several) > IN_ROW:
+        return None
+    return rows.Stage(kind, {r.clean: (r.term, r.score) for r in known}, [(r.term, r.n) for r in several], threshold)
+
+
+def cascaded(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, text: str = "text", threshold: int = THRESHOLD) -> DataFrame | None:
+    """docs with corrected_text, corrections, matched_drugs, matched_diseases; None if the lexicons or what they change
+    are too large for the row. Two passes over the texts, and none is shuffled: one for the spellings, one that corrects.
+    The second lexicon also gets the spellings that the first one brings in."""
+    spelled = rows.spelled(docs, text).persist()
+    try:
+        one = _stage(spelled, drugs, "drug", threshold)
+        if one is None:
+            return None
+        new = {t for t, score in one.known.values() if score is not None}
+        brought = {rows.alpha_lower(w) for t in new for x in (t, t.upper(), rows.capitalized(t)) for w in rows.tokens(x)}
+        more = docs.sparkSession.createDataFrame([(c,) for c in sorted(brought)], "clean string")
+        two = _stage(spelled.union(more), diseases, "disease", threshold)
+    finally:
+        spelled.unpersist()
+    return None if two is None else rows.corrected(docs, text, [one, two], ["matched_drugs", "matched_diseases"])
+
+
 def cascade(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(key, corrected_text, corrections, matched_drugs, matched_diseases): drugs first, then diseases on what came out."""
+    out = cascaded(docs.select(key, text), drugs, diseases, text, threshold)
+    return joined_cascade(docs, drugs, diseases, key, text, threshold) if out is None else out.drop(text)
+
+
+def joined_cascade(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """cascade for lexicons of any size; keys must be unique and not null."""
     one = corrected(docs.select(key, text), drugs, key, "drug", text, threshold).select(key, F.col("corrected_text").alias("_t"), F.col("corrections").alias("_first"), F.col("matched").alias("matched_drugs"))
     two = corrected(one, diseases, key, "disease", "_t", threshold)
     return two.select(key, "corrected_text", F.concat("_first", "corrections").alias("corrections"), "matched_drugs", F.col("matched").alias("matched_diseases"))

@@ -264,3 +264,17 @@ def test_close_terms_against_all_pairs(spark):
         table = spark.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, ord int")
         got = {(r.s, r.term) for r in lexicon.close(spark.createDataFrame([(f,) for f in forms], "s string"), table, threshold, "s", []).collect()}
         assert got == {(f, t) for f in forms for t in terms if (x := ratio(f, t))[0] >= threshold * x[1]}
+
+
+def test_cascade_in_the_row_gives_what_joins_give(spark, monkeypatch):
+    rng, breaks = random.Random(3), [" ", "  ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u200b"]
+    words = "Metformin METFORNIN (Aspirrin) WARFARlN! heart Hart FAILURE, faliure asthma Asthme gout ÉAspirin İbuprofen ΑΣ ſtroke ßepsis co-trimoxazole type 1 2 diabetes diabetis -- x".split()
+    made = [(k, "".join(rng.choice(words) + rng.choice(breaks) for _ in range(rng.randrange(20)))) for k in range(300)]
+    docs = spark.createDataFrame([*made, (300, None), (301, "\n heart  failure")], "id int, text string")
+    drugs, diseases = lexicons.of_terms(spark, [*lexicons.DRUGS, "co-trimoxazole", "a\tb", "vitamin b twelve"]), lexicons.of_terms(spark, [*lexicons.DISEASES, "type 1 diabetes", "sepsis\tx"])
+    ours = lexicon.cascade(docs, drugs, diseases, "id")
+    assert "Exchange" not in ours._jdf.queryExecution().executedPlan().toString()  # no text is shuffled
+    theirs = lexicon.joined_cascade(docs, drugs, diseases, "id").orderBy("id").collect()
+    assert ours.orderBy("id").collect() == theirs
+    monkeypatch.setattr(lexicon, "IN_ROW", 0)
+    assert lexicon.cascade(docs, drugs, diseases, "id").orderBy("id").collect() == theirs
