@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: The patterns of the fields. Group 1 is the value.
 DATE = r"\b(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}(?:st|nd|rd|th)?\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4})\b"
 PATIENT = r"(?:Patient|Name)\s*[:\-]\s*([A-Za-z\s]+?)(?:\n|,|\s+(?:Age|DOB|Date|Gender|Sex|Diagnosis|Rx|BP))"
@@ -32,13 +34,17 @@ ENTITIES = {
 FLAGS, LINES, ALL = "(?iUd)", "(?iUdm)", "(?iUds)"
 
 
+#: The white space of (?U)\\s.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?Ud)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def first(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     """Group 1 of the first match; null if there is none. A match of nothing is null as well."""
-    return F.nullif(F.regexp_extract(text, flags + pattern, 1), F.lit(""))
+    return let(F.regexp_extract(text, flags + pattern, 1), lambda v: F.when(v != "", v))
 
 
 def date(text: Column) -> Column:
@@ -50,8 +56,8 @@ def patient_name(text: Column) -> Column:
 
 
 def doctor_name(text: Column) -> Column:
-    name = stripped(first(text, DOCTOR, LINES))
-    return F.when(F.lower(name).startswith("dr"), name).otherwise(F.concat(F.lit("Dr. "), name))
+    titled = lambda name: F.when(F.lower(name).startswith("dr"), name).otherwise(F.concat(F.lit("Dr. "), name))
+    return let(stripped(first(text, DOCTOR, LINES)), titled)
 
 
 def hospital(text: Column) -> Column:
@@ -63,8 +69,7 @@ def age(text: Column) -> Column:
 
 
 def gender(text: Column) -> Column:
-    g = F.upper(first(text, GENDER))
-    return F.when(g.isin("MALE", "M"), "Male").when(g.isin("FEMALE", "F"), "Female")
+    return let(F.upper(first(text, GENDER)), lambda g: F.when(g.isin("MALE", "M"), "Male").when(g.isin("FEMALE", "F"), "Female"))
 
 
 def vitals(text: Column) -> Column:
@@ -84,10 +89,14 @@ def diagnosis(text: Column, strict: bool = False) -> Column:
 
 def medicine(line: Column, strict: bool = False) -> Column:
     """name, dosage, frequency of one line; null if no name of more than two characters is left."""
-    dosage, frequency = first(line, DOSAGE), first(line, FREQUENCY)
-    name = F.when(dosage.isNotNull(), _before(line, dosage)).when(frequency.isNotNull(), _before(line, frequency)).otherwise(line)
-    name = stripped(F.regexp_replace(stripped(name), STRICT_BULLET if strict else BULLET, ""))
-    return F.when(F.length(name) > 2, F.struct(name.alias("name"), dosage.alias("dosage"), frequency.alias("frequency")))
+
+    def named(x: Column) -> Column:
+        dosage, frequency = x["dosage"], x["frequency"]
+        name = F.when(dosage.isNotNull(), _before(line, dosage)).when(frequency.isNotNull(), _before(line, frequency)).otherwise(line)
+        name = stripped(F.regexp_replace(stripped(name), STRICT_BULLET if strict else BULLET, ""))
+        return let(name, lambda n: F.when(F.length(n) > 2, F.struct(n.alias("name"), dosage.alias("dosage"), frequency.alias("frequency"))))
+
+    return let(F.struct(first(line, DOSAGE).alias("dosage"), first(line, FREQUENCY).alias("frequency")), named)
 
 
 def _before(line: Column, part: Column) -> Column:
@@ -111,7 +120,7 @@ def instructions(text: Column) -> Column:
 def near_mention(text: Column, term: Column) -> Column:
     """dosage and frequency in the thirty characters after the first whole-word mention of a term."""
     window = F.coalesce(F.get(F.regexp_extract_all(text, F.concat(F.lit(r"(?iUd)\b\Q"), term, F.lit(r"\E\b(.{0,30})")), F.lit(1)), F.lit(0)), F.lit(""))
-    return F.struct(first(window, DOSAGE).alias("dosage"), first(window, NEAR_FREQUENCY).alias("frequency"))
+    return let(window, lambda w: F.struct(first(w, DOSAGE).alias("dosage"), first(w, NEAR_FREQUENCY).alias("frequency")))
 
 
 def entities(text: Column, kind: str) -> Column:
@@ -124,4 +133,4 @@ def record(text: Column, strict: bool = False) -> Column:
     """The whole record; null for a blank text. Lists that were not found are empty, single values null."""
     fields = [patient_name, age, gender, date, doctor_name, hospital]
     whole = F.struct(*[f(text).alias(f.__name__) for f in fields], diagnosis(text, strict).alias("diagnosis"), medicines(text, strict).alias("medicines"), vitals(text).alias("vitals"), instructions(text).alias("instructions"))
-    return F.when(stripped(F.coalesce(text, F.lit(""))) != "", whole)
+    return F.when(text.rlike(r"(?U)\S"), whole)

@@ -233,9 +233,8 @@ def merged_diagnoses(given: Column, candidates: Column) -> Column:
 
 def new_medicines(names: Column, candidates: Column) -> Column:
     """Candidates that are in no name so far (case aside); each one kept counts for the next."""
-    taken = F.transform(names, lambda x: F.lower(x))
-    after = F.aggregate(candidates, taken, lambda a, d: F.when(F.exists(a, lambda x: F.contains(x, F.lower(d))), a).otherwise(F.array_append(a, F.lower(d))))
-    return F.slice(after, F.size(taken) + 1, F.size(after))
+    after = lambda taken: F.aggregate(candidates, taken, lambda a, d: F.when(F.exists(a, lambda x: F.contains(x, F.lower(d))), a).otherwise(F.array_append(a, F.lower(d))))
+    return T.let(after(F.transform(names, lambda x: F.lower(x))), lambda a: F.slice(a, F.size(names) + 1, F.size(a)))
 
 
 def token_corrections(spellings: DataFrame, medical: list[str], english: list[str], cutoff: float = 0.84, english_cutoff: float = 0.93, noise_only: bool = False) -> DataFrame:

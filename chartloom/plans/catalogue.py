@@ -267,8 +267,7 @@ _MERGED_MEDICINES = f"""merged AS (SELECT doc_id, text, m, list_reduce(list_tran
 @query(f"""{NOTES}, {_MERGED_MEDICINES} SELECT doc_id, x.name AS name, x.dosage AS dosage, x.frequency AS frequency FROM (SELECT doc_id, unnest(m) AS x FROM merged)
  UNION ALL SELECT doc_id, upper(d[1:1]) || d[2:] AS name, {_NEAR(E.DOSAGE)} AS dosage, {_NEAR(E.NEAR_FREQUENCY)} AS frequency FROM (SELECT doc_id, text, unnest(new) AS d FROM merged)""")
 def dictionary_medicine_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pipeline.extracted(notes(spark, sf_dir), DRUGS, DISEASES)
-    return out.select("doc_id", F.explode("extracted_data.medicines").alias("m")).select("doc_id", "m.*")
+    return notes(spark, sf_dir).select("doc_id", F.explode(pipeline.merged_medicines(F.col("text"), DRUGS)).alias("m")).select("doc_id", "m.*")
 
 
 # --- dictionaries ---------------------------------------------------------------------------------------------------

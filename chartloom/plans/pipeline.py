@@ -10,6 +10,22 @@ from ..functions.text import let
 from ..operators import classify, lexicon
 
 
+def medicines(text: Column, given: Column, drugs: Column, named: Column) -> Column:
+    """The regex medicines, and after them the drugs and names that are in no name so far; a name that is no drug is kept
+    only with a dosage nearby."""
+    found = lexicon.new_medicines(F.transform(given, lambda m: m["name"]), F.array_union(drugs, named))
+    added = F.transform(found, lambda d: F.struct(F.initcap(d).alias("name"), extract.near_mention(text, d).alias("n"), F.lower(d).alias("d")))
+    added = F.filter(added, lambda m: m["n"]["dosage"].isNotNull() | F.array_contains(drugs, m["d"]))
+    return F.concat(given, F.transform(added, lambda m: F.struct(m["name"].alias("name"), m["n"]["dosage"].alias("dosage"), m["n"]["frequency"].alias("frequency"))))
+
+
+def merged_medicines(text: Column, drugs: list[str]) -> Column:
+    """The medicines of extracted() for a text without named entities; the other fields are not read for them."""
+    none = F.array().cast("array<string>")
+    parts = F.struct(extract.medicines(text).alias("m"), lexicon.found_terms(text, drugs).alias("drugs"))
+    return let(parts, lambda x: medicines(text, x["m"], x["drugs"], none))
+
+
 def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str = "text", strict: bool = False, entities: str | None = None) -> DataFrame:
     """docs with extracted_data: the regex record, completed by named entities and dictionary terms. Blank texts have a
     null one.
@@ -22,15 +38,11 @@ def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str
     tags = F.coalesce(F.col(entities), F.array().cast("array<struct<label:string,entity:string>>")) if entities else F.array().cast("array<struct<label:string,entity:string>>")
 
     def completed(x: Column) -> Column:
-        r, names = x["r"], F.transform(x["r"]["medicines"], lambda m: m["name"])
-        found = lexicon.new_medicines(names, F.array_union(x["drugs"], adapters.chemicals(x["tags"])))
-        added = F.transform(found, lambda d: F.struct(F.initcap(d).alias("name"), extract.near_mention(t, d).alias("n"), F.lower(d).alias("d")))
-        added = F.filter(added, lambda m: m["n"]["dosage"].isNotNull() | F.array_contains(x["drugs"], m["d"]))
-        added = F.transform(added, lambda m: F.struct(m["name"].alias("name"), m["n"]["dosage"].alias("dosage"), m["n"]["frequency"].alias("frequency")))
+        r = x["r"]
         filled = lambda c, label: F.coalesce(F.nullif(c, F.lit("")), F.get(adapters.labelled(x["tags"], label), F.lit(0)), c)
         roles = adapters.persons_resolved(r["doctor_name"], r["patient_name"], adapters.labelled(x["tags"], "PERSON"))
         ill = lexicon.merged_diagnoses(lexicon.merged_diagnoses(r["diagnosis"], adapters.labelled(x["tags"], "DISEASE")), x["diseases"])
-        whole = r.withField("diagnosis", ill).withField("medicines", F.concat(r["medicines"], added)).withField("date", filled(r["date"], "DATE")).withField("hospital", filled(r["hospital"], "ORG"))
+        whole = r.withField("diagnosis", ill).withField("medicines", medicines(t, r["medicines"], x["drugs"], adapters.chemicals(x["tags"]))).withField("date", filled(r["date"], "DATE")).withField("hospital", filled(r["hospital"], "ORG"))
         whole = let(roles, lambda p: whole.withField("doctor_name", p["doctor_name"]).withField("patient_name", p["patient_name"])) if entities else whole
         return F.when(r.isNotNull(), whole)
 

@@ -278,3 +278,15 @@ def test_cascade_in_the_row_gives_what_joins_give(spark, monkeypatch):
     assert ours.orderBy("id").collect() == theirs
     monkeypatch.setattr(lexicon, "IN_ROW", 0)
     assert lexicon.cascade(docs, drugs, diseases, "id").orderBy("id").collect() == theirs
+
+
+def test_medicines_are_found_without_the_rest_of_the_record(spark):
+    made = ["Rx: \u2003- Metformin 5mg twice daily\x85\n\xa02. Ibuprofen 100 mg at bedtime\u3000\nPlan: insulin 10 units daily, tramadol", "warfarin", "Rx:", " ", None]
+    docs = spark.createDataFrame(list(enumerate(made)), "id int, text string")
+    whole = {r.id: r.m or [] for r in pipeline.extracted(docs, lexicons.DRUGS, lexicons.DISEASES).select("id", F.col("extracted_data.medicines").alias("m")).collect()}
+    alone = docs.select("id", pipeline.merged_medicines(F.col("text"), lexicons.DRUGS).alias("m"))
+    assert {r.id: r.m or [] for r in alone.collect()} == whole and [m.name for m in whole[0]] == ["Metformin", "Ibuprofen", "Tramadol", "Insulin"]
+    assert extract.PULSE not in alone._jdf.queryExecution().executedPlan().toString()
+    spaces = [chr(c) for c in range(1, 0x3001) if not 0xD800 <= c < 0xE000]
+    one = spark.createDataFrame([(f"{c} a{c}b {c}",) for c in spaces], "t string")
+    assert one.where(~extract.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?Ud)^\s+|\s+\z", ""))).count() == 0
