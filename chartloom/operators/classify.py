@@ -58,7 +58,8 @@ def needed(pattern: str) -> list[str]:
 
 def folded(text: Column) -> Column:
     """Lower case for literals: also of the signs that a pattern without regard to case takes for i and s."""
-    return F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
+    some = text.contains("\u0130") | text.contains("\u0131") | text.contains("\u017f")
+    return F.lower(F.when(some, F.translate(text, "\u0130\u0131\u017f", "iis")).otherwise(text))
 
 
 def counted(text: Column, folded_text: Column, pattern: str) -> Column:
@@ -119,11 +120,47 @@ def _urgency(x: Column) -> Column:
     return F.struct(level.alias("urgency"), sure.alias("urgency_confidence"))
 
 
+KEYWORDS = sorted({w for ws, _ in TYPES.values() for w in ws})
+PATTERNS = [p for _, ps in TYPES.values() for p in ps]
+#: Literals without which no pattern matches.
+NEEDED = sorted({w for p in PATTERNS for w in needed(p)})
+
+
+def _matches(text: Column, some: Column, pattern: str) -> Column:
+    return F.when(some, F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def keywords_found(text: Column) -> Column:
     """Keywords that occur and texts that patterns match, distinct and sorted; empty for a blank text."""
     source = F.coalesce(text, F.lit(""))
-    words = sorted({w for ws, _ in TYPES.values() for w in ws})
-    found = [let(F.lower(source), lambda low: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))]
-    holds = lambda p: sum((folded(source).contains(w).cast("int") for w in needed(p)), F.lit(0)) > 0
-    found += [F.when(holds(p), F.regexp_extract_all(source, F.lit("(?iU)" + p), F.lit(0))).otherwise(F.array().cast("array<string>")) for _, ps in TYPES.values() for p in ps]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    words = let(F.lower(source), lambda low: F.filter(F.array(*map(F.lit, KEYWORDS)), lambda w: F.contains(low, w)))
+    holds = lambda f, p: sum((f.contains(w).cast("int") for w in needed(p)), F.lit(0)) > 0
+    found = let(folded(source), lambda f: F.flatten(F.array(*[_matches(source, holds(f, p), p) for p in PATTERNS])))
+    return F.array_sort(F.array_distinct(F.concat(words, found)))
+
+
+def read(text: Column, words: Column, parts: Column) -> Column:
+    """Struct (classification, urgency, keywords) as classification, urgency and keywords_found give them, from what a
+    text holds: words, of KEYWORDS, URGENT and HIGH in lower case, and parts, of NEEDED in the folded text. Each pattern
+    runs once."""
+    source = F.coalesce(text, F.lit(""))
+    has = lambda of, w: F.array_contains(of, F.lit(w))
+    some = lambda p: F.arrays_overlap(parts, F.array(*map(F.lit, needed(p))))
+    matches = F.array(*[_matches(source, some(p), p) for p in PATTERNS])
+
+    def said(x: Column) -> Column:
+        out = []
+        for k, (name, (ws, ps)) in enumerate(TYPES.items()):
+            score = F.lit(0)
+            for p in ps:
+                score = score + 2 * F.size(F.get(x["m"], F.lit(PATTERNS.index(p))))
+            score = score + F.size(F.array_intersect(words, F.array(*map(F.lit, ws))))
+            out.append(F.struct(score.alias("score"), F.lit(-k).alias("ord"), F.lit(name).alias("type")))
+        kind = let(F.reverse(F.array_sort(F.array(*out))), lambda r: classification(r, source))
+        count = lambda ws: sum((has(words, w).cast("int") for w in ws[1:]), has(words, ws[0]).cast("int"))
+        urgent = let(F.struct(count(URGENT).alias("u"), count(HIGH).alias("h")), _urgency)
+        keywords = F.filter(words, lambda w: w.isin(KEYWORDS))
+        found = F.array_sort(F.array_distinct(F.concat(keywords, F.flatten(x["m"]))))
+        return F.struct(kind.alias("classification"), urgent.alias("urgency"), found.alias("keywords"))
+
+    return let(F.struct(matches.alias("m")), said)

@@ -166,8 +166,8 @@ def _stage(spelled: DataFrame, lexicon: DataFrame, kind: str, threshold: int) ->
     return rows.Stage(kind, {r.clean: (r.term, r.score) for r in known}, [(r.term, r.n) for r in several], threshold)
 
 
-def cascaded(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, text: str = "text", threshold: int = THRESHOLD) -> DataFrame | None:
-    """docs with corrected_text, corrections, matched_drugs, matched_diseases; None if the lexicons or what they change
+def cascaded(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, text: str = "text", threshold: int = THRESHOLD, held: list[rows.Held] = []) -> DataFrame | None:  # noqa: B006
+    """docs with corrected_text, corrections, matched_drugs, matched_diseases and what is held; None if the lexicons or what they change
     are too large for the row. Two passes over the texts, and none is shuffled: one for the spellings, one that corrects.
     The second lexicon also gets the spellings that the first one brings in."""
     spelled = rows.spelled(docs, text).persist()
@@ -181,7 +181,7 @@ def cascaded(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, text: str =
         two = _stage(spelled.union(more), diseases, "disease", threshold)
     finally:
         spelled.unpersist()
-    return None if two is None else rows.corrected(docs, text, [one, two], ["matched_drugs", "matched_diseases"])
+    return None if two is None else rows.corrected(docs, text, [one, two], ["matched_drugs", "matched_diseases"], held)
 
 
 def cascade(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -204,11 +204,20 @@ def whole_word(text: Column, term: str) -> Column:
 
 def found_terms(text: Column, terms: list[str]) -> Column:
     """Terms in a text, longest first, then by name. One contains for each term before its regular expression."""
-    order = sorted(set(terms), key=lambda t: (-len(t), t))
-    hits = lambda low: F.array_compact(F.array(*[F.when(low.contains(t) & whole_word(low, t), F.lit(t)) for t in order]))
+    hits = lambda low: F.array_compact(F.array(*[F.when(low.contains(t) & whole_word(low, t), F.lit(t)) for t in longest_first(terms)]))
     return T.let(F.lower(F.coalesce(text, F.lit(""))), hits)
 
 
+def whole_terms(text: Column, candidates: Column) -> Column:
+    """found_terms from the terms that the lower-cased text holds, in their order."""
+    whole = lambda low, t: F.contains(t, F.lit(" ")) | F.rlike(low, F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b")))
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(candidates, lambda t: whole(low, t)))
+
+
+def longest_first(terms: list[str]) -> list[str]:
+    return sorted(set(terms), key=lambda t: (-len(t), t))
+
+
 def detected(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """docs with corrected_text (the text as it is), no corrections and matched: what is left without a fuzzy matcher."""
     hits = T.let(F.lower(F.coalesce(F.col(text), F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(low.contains(t) & whole_word(low, t), F.lit(t)) for t in sorted(set(terms))])))

@@ -9,6 +9,7 @@ import itertools
 import operator
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: White space as functions.text.SPACE has it. Python's split() takes the four separators as well.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+_FOLDED = str.maketrans("\u0130\u0131\u017f", "iis")
 _NO_LETTER = re.compile("[^A-Za-z]")
 CORRECTIONS = "array<struct<from:string,to:string,type:string,score:int>>"
 
@@ -157,11 +159,30 @@ def spelled(docs: DataFrame, text: str) -> DataFrame:
     return _bounded(docs.select(F.col(text))).mapInArrow(run, "clean string").distinct()
 
 
-def corrected(docs: DataFrame, text: str, stages: list[Stage], matched: list[str]) -> DataFrame:
-    """docs with corrected_text, corrections, and the terms that each stage matched under its name; a stage works on the
-    text that the one before it left, whose words are joined by one space."""
+def lower(text: str | None) -> str:
+    return (text or "").lower()
+
+
+def folded(text: str | None) -> str:
+    """As classify.folded."""
+    return lower(text if not text or text.isascii() else text.translate(_FOLDED))
+
+
+@dataclass(frozen=True)
+class Held:
+    """A column of those of the literals, in their order, that a text holds once form has changed it."""
+
+    name: str
+    literals: list[str]
+    form: Callable[[str | None], str]
+    corrected: bool
+
+
+def corrected(docs: DataFrame, text: str, stages: list[Stage], matched: list[str], held: list[Held] = []) -> DataFrame:  # noqa: B006
+    """docs with corrected_text, corrections, the terms that each stage matched under its name, and what is held; a stage
+    works on the text that the one before it left, whose words are joined by one space."""
     kinds = docs.sparkSession.createDataFrame([], f"corrections {CORRECTIONS}, matched array<string>").schema
-    more = [StructField("corrected_text", docs.schema[text].dataType), StructField("corrections", kinds["corrections"].dataType), *[StructField(m, kinds["matched"].dataType) for m in matched]]
+    more = [StructField("corrected_text", docs.schema[text].dataType), StructField("corrections", kinds["corrections"].dataType), *[StructField(m, kinds["matched"].dataType) for m in [*matched, *[h.name for h in held]]]]
     arrow = [to_arrow_type(f.dataType) for f in more]
     at, names = docs.columns.index(text), [*docs.columns, *[f.name for f in more]]
 
@@ -183,8 +204,12 @@ def corrected(docs: DataFrame, text: str, stages: list[Stage], matched: list[str
                         if change:
                             changes.append(change)
                     column.append(sorted(terms))
-                out[0].append(" ".join(words))
+                new = " ".join(words)
+                out[0].append(new)
                 out[1].append(changes)
+                for column, h in zip(out[2 + len(stages) :], held):
+                    low = h.form(new if h.corrected else x)
+                    column.append([t for t in h.literals if t in low])
             for memo in (m for entries, windows in tables for m in (entries, windows.worth)):
                 if len(memo) > REMEMBERED:
                     memo.clear()

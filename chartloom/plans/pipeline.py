@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import adapters, extract
 from ..functions.text import let
-from ..operators import classify, lexicon
+from ..operators import classify, lexicon, rows
 
 
 def medicines(text: Column, given: Column, drugs: Column, named: Column) -> Column:
@@ -26,13 +26,14 @@ def merged_medicines(text: Column, drugs: list[str]) -> Column:
     return let(parts, lambda x: medicines(text, x["m"], x["drugs"], none))
 
 
-def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str = "text", strict: bool = False, entities: str | None = None) -> DataFrame:
+def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str = "text", strict: bool = False, entities: str | None = None, found: tuple[Column, Column] | None = None) -> DataFrame:
     """docs with extracted_data: the regex record, completed by named entities and dictionary terms. Blank texts have a
     null one.
 
     entities names a column of (label, entity) from a plug-in: DATE, ORG and PERSON fill what the patterns left empty,
     DISEASE comes before the dictionary's diseases. CHEMICAL and ENTITY stand with the dictionary's drugs as a set,
-    the drugs first; a name that is no drug is kept only with a dosage nearby.
+    the drugs first; a name that is no drug is kept only with a dosage nearby. found gives the text's drugs and diseases
+    where they are known.
     """
     t = F.col(text)
     tags = F.coalesce(F.col(entities), F.array().cast("array<struct<label:string,entity:string>>")) if entities else F.array().cast("array<struct<label:string,entity:string>>")
@@ -46,24 +47,33 @@ def extracted(docs: DataFrame, drugs: list[str], diseases: list[str], text: str
         whole = let(roles, lambda p: whole.withField("doctor_name", p["doctor_name"]).withField("patient_name", p["patient_name"])) if entities else whole
         return F.when(r.isNotNull(), whole)
 
-    parts = F.struct(extract.record(t, strict).alias("r"), lexicon.found_terms(t, drugs).alias("drugs"), lexicon.found_terms(t, diseases).alias("diseases"), tags.alias("tags"))
+    in_drugs, in_diseases = found or (lexicon.found_terms(t, drugs), lexicon.found_terms(t, diseases))
+    parts = F.struct(extract.record(t, strict).alias("r"), in_drugs.alias("drugs"), in_diseases.alias("diseases"), tags.alias("tags"))
     return docs.withColumn("extracted_data", let(parts, completed))
 
 
 def responses(docs: DataFrame, drugs: DataFrame, diseases: DataFrame, key: str, text: str = "text", preserve_newlines: bool = True) -> DataFrame:
     """key and the parts of a response. preserve_newlines extracts from the text as it came; without it from the
     corrected text, which is one line."""
-    fixed = lexicon.cascade(docs, drugs, diseases, key, text)
-    rows = docs.select(key, F.col(text).alias("ocr_text")).join(fixed, key)
     source = "ocr_text" if preserve_newlines else "corrected_text"
     terms = lambda t: [r.term for r in t.orderBy("ord").collect()]
-    rows = extracted(rows, terms(drugs), terms(diseases), source)
-    rows = classify.classified(rows, "corrected_text").withColumn("_u", classify.urgency(F.col("corrected_text")))
-    found = F.slice(classify.keywords_found(F.col("corrected_text")), 1, 10)
-    return rows.select(
-        key, "ocr_text", "corrected_text", "corrections", "matched_drugs", "matched_diseases", "extracted_data",
-        F.struct("document_type", "confidence", "secondary_types", F.col("_u.urgency").alias("urgency"), F.col("_u.urgency_confidence").alias("urgency_confidence"), found.alias("keywords_found")).alias("classification"),
-    )
+    drug_terms, disease_terms = terms(drugs), terms(diseases)
+    given, c = docs.select(key, F.col(text).alias("ocr_text")), F.col("corrected_text")
+    held = [
+        rows.Held("_drugs", lexicon.longest_first(drug_terms), rows.lower, not preserve_newlines), rows.Held("_diseases", lexicon.longest_first(disease_terms), rows.lower, not preserve_newlines),
+        rows.Held("_words", sorted({*classify.KEYWORDS, *classify.URGENT, *classify.HIGH}), rows.lower, True), rows.Held("_parts", classify.NEEDED, rows.folded, True),
+    ]
+    out = lexicon.cascaded(given, drugs, diseases, "ocr_text", held=held)
+    if out is None:
+        out = given.join(lexicon.joined_cascade(given, drugs, diseases, key, "ocr_text"), key)
+        found = None
+        said = F.struct(let(classify.ranked(c), lambda r: classify.classification(r, c)).alias("classification"), classify.urgency(c).alias("urgency"), classify.keywords_found(c).alias("keywords"))
+    else:
+        found = lexicon.whole_terms(F.col(source), F.col("_drugs")), lexicon.whole_terms(F.col(source), F.col("_diseases"))
+        said = classify.read(c, F.col("_words"), F.col("_parts"))
+    out = extracted(out, drug_terms, disease_terms, source, found=found)
+    kind = lambda x: F.struct(x["classification"]["document_type"].alias("document_type"), x["classification"]["confidence"].alias("confidence"), x["classification"]["secondary_types"].alias("secondary_types"), x["urgency"]["urgency"].alias("urgency"), x["urgency"]["urgency_confidence"].alias("urgency_confidence"), F.slice(x["keywords"], 1, 10).alias("keywords_found"))
+    return out.select(key, "ocr_text", "corrected_text", "corrections", "matched_drugs", "matched_diseases", "extracted_data", let(said, kind).alias("classification"))
 
 
 def envelopes(rows: DataFrame, key: str) -> DataFrame:

@@ -290,3 +290,17 @@ def test_medicines_are_found_without_the_rest_of_the_record(spark):
     spaces = [chr(c) for c in range(1, 0x3001) if not 0xD800 <= c < 0xE000]
     one = spark.createDataFrame([(f"{c} a{c}b {c}",) for c in spaces], "t string")
     assert one.where(~extract.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?Ud)^\s+|\s+\z", ""))).count() == 0
+
+
+def test_responses_read_each_text_in_the_row(spark, monkeypatch):
+    made = ["Rx: Metfornin 5mg daily\nFOLLOW UP: stat. Follow-up İnsulin ſig: Proſgress  Note, tramadol 5 mg\x1cDr. Ö\xa0 Hart failure", "", None, " \x85", "Discharge summary: pre-operative RX: X-RAY  scan ımage qualıty, severe asthme; take 2 tablets twice daily"]
+    docs = spark.createDataFrame(list(enumerate(made)), "id int, text string")
+    drugs, diseases = lexicons.of_terms(spark, lexicons.DRUGS), lexicons.of_terms(spark, lexicons.DISEASES)
+    for keep in (True, False):
+        ours = pipeline.responses(docs, drugs, diseases, "id", preserve_newlines=keep)
+        assert "Join" not in ours._jdf.queryExecution().executedPlan().toString()
+        ours = ours.orderBy("id").collect()
+        with monkeypatch.context() as m:
+            m.setattr(lexicon, "cascaded", lambda *a, **b: None)  # joins, and each function by itself
+            assert ours == pipeline.responses(docs, drugs, diseases, "id", preserve_newlines=keep).orderBy("id").collect()
+    assert "Metformin" in [c["to"] for c in ours[0].corrections] and "heart failure" in ours[0].matched_diseases
