@@ -99,10 +99,11 @@ class Gru:
         clipped = max(np.abs(wc).sum(0).max(), np.abs(wo).sum(1).max()) > LARGEST  # states are within 1
         log, s, total = _softmax(h1, wc, cls, clipped)
         if grad:
-            s /= total[:, None]
-            s[np.arange(len(cls)), cls] -= 1
-            g = {"wc": h1.T @ s, "wo": np.zeros(wo.shape, h.dtype)}
+            # less the total at the target, all by the total: the narrow factors are divided, not the logits
+            s[np.arange(len(cls)), cls] -= total
+            g = {"wc": (h1 / total[:, None]).T @ s, "wo": np.zeros(wo.shape, h.dtype)}
             dh = s @ wc[:n].T
+            dh /= total[:, None]
         ends = np.searchsorted(cls, np.arange(self.classes + 1))
         for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.edges) > 1)):
             a, b, low, high = ends[c], ends[c + 1], self.edges[c], self.edges[c + 1]
@@ -110,10 +111,11 @@ class Gru:
             part, s, total = _softmax(h1[a:b], wo[low:high].T, k, clipped)
             log[a:b] += part
             if grad:
-                s /= total[:, None]
-                s[np.arange(len(k)), k] -= 1
-                np.matmul(s.T, h1[a:b], out=g["wo"][low:high])
-                dh[a:b] += s @ wo[low:high, :n]
+                s[np.arange(len(k)), k] -= total
+                np.matmul(s.T, h1[a:b] / total[:, None], out=g["wo"][low:high])
+                back = s @ wo[low:high, :n]
+                back /= total[:, None]
+                dh[a:b] += back
         out = np.empty_like(log)
         out[order] = log
         if not grad:
@@ -218,6 +220,13 @@ class Gru:
         log = np.empty(len(flat), np.float32)
         h = np.zeros((lanes, self.hidden), np.float32)
         last = np.full(lanes, end, flat.dtype)
+        waiting, tokens = [], 0  # windows of few lanes are put together before their outputs, whose work begins at a class
+
+        def said() -> None:
+            at, states, y = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*waiting))
+            log[at] = self.outputs(states, y)
+            waiting.clear()
+
         for a in range(0, int(loads[0]), window):
             live = int(np.searchsorted(-loads, -a, side="left"))
             at = begins[:live] + a + np.arange(min(window, int(loads[0]) - a))[:, None]
@@ -226,10 +235,20 @@ class Gru:
             x = np.concatenate([last[None, :live], y[:-1]])
             h, last = h[:live], y[-1]
             states = np.empty((len(y), live, self.hidden), np.float32)
+            begun = x == end
+            resets = begun.any(1).tolist()
+            few = self._table[x] if live * 8 <= lanes else None  # at once where a step is little work
             for t in range(len(y)):
-                h[x[t] == end] = 0
-                h = states[t] = self.step(self._table[x[t]], h)[0]
-            log[at[there]] = self.outputs(states[there], y[there])
+                if resets[t]:
+                    h[begun[t]] = 0
+                h = states[t] = self.step(self._table[x[t]] if few is None else few[t], h)[0]
+            n = int(there.sum())
+            if waiting and tokens + n > window * lanes:
+                said()
+                tokens = 0
+            waiting.append((at[there], states[there], y[there]))
+            tokens += n
+        said()
         order = [i for ids in held for i in ids]
         starts = np.cumsum([0, *(len(docs[i]) for i in order[:-1])])
         out = np.empty(len(docs))

@@ -194,3 +194,13 @@ def test_training_learns_an_order():
         g.train(stream, 0, lanes=8, window=16)
     assert g.score([stream[:700]], 0)[0] > before / 4
     assert small().unpack(np.frombuffer(g.pack(), np.float32)).score([stream[:70]], 0) == pytest.approx(g.score([stream[:70]], 0))
+
+
+def test_windows_of_few_lanes_share_their_outputs(monkeypatch):
+    net, calls = Gru(np.array([5.0, 4.0, 3.0, 2.0, 1.0]), 4), []
+    docs = [np.append(np.arange(3000) % 4 + 1, 0), *[np.array([k % 4 + 1, 0]) for k in range(99)]]
+    alone = np.array([net.score([d], 0)[0] for d in docs])
+    whole = Gru.outputs
+    monkeypatch.setattr(Gru, "outputs", lambda self, h, y, grad=False: calls.append(len(y)) or whole(self, h, y, grad))
+    assert np.allclose(net.score(docs, 0), alone, rtol=1e-5)
+    assert len(calls) <= 2 and sum(calls) == sum(map(len, docs)) and max(calls) <= 64 * 100
